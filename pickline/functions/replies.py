@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pickline.functions.scalars import normalize_keywords
 from pickline.schemas import CATEGORIES, CONFIDENCES, PAIR_WINNERS, VERDICTS
@@ -25,7 +26,7 @@ _REQUIRED = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_object(texts: pd.Series) -> pd.Series:
     """The first balanced ``{..}`` of each text, null when there is none.
 

@@ -129,27 +129,39 @@ def split_outcomes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("error is null").drop("error"), rows.filter("error is not null")
 
 
-def tally(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``items (item, wins)``, ``versus (i, j, n)`` with each unordered pair once, error rows.
+def outcomes_by_pair(pairs: DataFrame) -> DataFrame:
+    """``(i, j, n, wins_i, wins_j)`` per unordered pair; a tie is half a win for both.
 
-    A tie is half a win for both. Both counts combine map-side, so an item in a third of all
-    pairs costs one partial row per task.
+    Counts combine map-side, so a pair or an item in a third of all outcomes costs one partial
+    row per task.
     """
-    good, bad = split_outcomes(pairs)
-    won = lambda side: (
-        F.when(F.col("winner") == TIE, 0.5).when(F.col("winner") == F.col(side), 1.0).otherwise(0.0)
+    def won(side: str):
+        tied = F.col("winner") == TIE
+        return F.sum(F.when(tied, 0.5).when(F.col("winner") == F.col(side), 1.0).otherwise(0.0))
+
+    return pairs.select(
+        F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "winner"
+    ).groupBy("i", "j").agg(
+        F.count("*").cast("double").alias("n"), won("i").alias("wins_i"), won("j").alias("wins_j")
     )
+
+
+def item_totals(by_pair: DataFrame) -> DataFrame:
+    """``(item, wins, degree)`` from the outcomes per pair."""
     sides = F.array(
-        F.struct(F.col("a").alias("item"), won("a").alias("win")),
-        F.struct(F.col("b").alias("item"), won("b").alias("win")),
-    )
-    items = good.select(F.explode(sides).alias("s")).groupBy(F.col("s.item").alias("item")).agg(
-        F.sum("s.win").alias("wins")
+        F.struct(F.col("i").alias("item"), F.col("wins_i").alias("w")),
+        F.struct(F.col("j").alias("item"), F.col("wins_j").alias("w")),
     )
-    versus = good.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(
-        F.count("*").cast("double").alias("n")
+    return by_pair.select(F.explode(sides).alias("s")).groupBy(F.col("s.item").alias("item")).agg(
+        F.sum("s.w").alias("wins"), F.count("*").alias("degree")
     )
-    return items, versus, bad
+
+
+def tally(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``items (item, wins)``, ``versus (i, j, n)`` with each unordered pair once, error rows."""
+    good, bad = split_outcomes(pairs)
+    by_pair = outcomes_by_pair(good)
+    return item_totals(by_pair).drop("degree"), by_pair.select("i", "j", "n"), bad
 
 
 def symmetric(versus: DataFrame) -> DataFrame:

@@ -5,24 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pickline.session import cut
+
 #: A key with more rows than this is hot. Of R rows at most R / HOT_ROWS keys can be hot, so the
-#: broadcast below holds at most 100,000 narrow rows per 100 billion rows of input.
+#: broadcast of hot keys holds at most 100,000 narrow rows per 100 billion rows of input.
 HOT_ROWS = 1_000_000
-#: Largest table that may be broadcast after its rows were counted.
+#: Largest table of narrow rows that may be broadcast, after its rows were counted.
 BROADCAST_ROWS = 1_000_000
+_SALTS = 4096
 
 
-def attach(fact: DataFrame, stats: DataFrame, key: str, size: str, hot_rows: int = HOT_ROWS):
+def attach(
+    fact: DataFrame,
+    stats: DataFrame,
+    key: str,
+    size: str,
+    hot_rows: int = HOT_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Join ``fact`` with ``stats``, one row per ``key`` aggregated from ``fact``.
 
-    ``size`` names the column of ``stats`` with the key's row count. Rows of a hot key never meet
-    in one task: the few hot statistics are broadcast, only the rest is shuffled by key. Without
-    hot keys AQE drops the empty branch at run time.
+    ``size`` names the column of ``stats`` with the key's row count. The statistics are written
+    once and counted. Few of them are broadcast and ``fact`` stays where it is. Otherwise only
+    those of hot keys are broadcast; the rows of a hot key have found their partner then, so they
+    are salted and spread in the shuffle that serves the rest.
     """
-    hot = F.broadcast(stats.filter(F.col(size) > hot_rows))
-    cold = stats.filter(F.col(size) <= hot_rows)
-    return fact.join(hot, key).unionByName(
-        fact.join(hot.select(key), key, "left_anti").join(cold, key)
+    stats = cut(stats)
+    if stats.count() <= broadcast_rows:
+        return fact.join(F.broadcast(stats), key)
+    values = [c for c in stats.columns if c != key]
+    hot = stats.filter(F.col(size) > hot_rows).select(key, F.struct(*values).alias("_hot"))
+    cold = stats.filter(F.col(size) <= hot_rows).select(
+        key, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt")
+    )
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(
+        F.pmod(F.xxhash64(*fact.columns), F.lit(_SALTS)).cast("int") + 1
+    )
+    found = F.coalesce("_hot", "_cold")
+    return (
+        fact.join(F.broadcast(hot), key, "left")
+        .withColumn("_salt", salt)
+        .join(cold, [key, "_salt"], "left")
+        .withColumn("_found", found)
+        .filter(F.col("_found").isNotNull())
+        .select(*fact.columns, *[F.col(f"_found.{c}").alias(c) for c in values])
     )
 
 

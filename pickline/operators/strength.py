@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pickline.operators.compare import tally
+from pickline.operators.compare import item_totals, outcomes_by_pair, split_outcomes
 from pickline.operators.merges import merge_upsert
 from pickline.operators.ordering import BLOCK_ROWS, carried_scan, segments, with_position
 from pickline.operators.skew import BROADCAST_ROWS, HOT_ROWS, slots_of
@@ -21,24 +21,20 @@ REL_TOL = 1e-9
 ABS_TOL = 1e-12
 
 
-def _salted(versus: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Edges with a slot per side, and the slots of every item.
+def _salted(edges: DataFrame, items: DataFrame) -> DataFrame:
+    """Edges with a slot per side: an item that meets very many others is spread over slots.
 
-    An item that meets very many others is spread over slots chosen by the opponent, so that its
-    edges are joined in several tasks.
+    The slot is chosen by the opponent, so the edges of one item are joined in several tasks.
     """
-    degrees = versus.select(F.explode(F.array("i", "j")).alias("item")).groupBy("item").agg(
-        slots_of(F.count("*"), hot_rows).alias("slots")
-    )
     # at most 2 E / hot_rows items have more than one slot
-    hot = F.broadcast(degrees.filter("slots > 1"))
+    hot = F.broadcast(items.filter("slots > 1").select("item", "slots"))
     for side, other in (("i", "j"), ("j", "i")):
         named = hot.select(F.col("item").alias(side), F.col("slots").alias("_s"))
-        versus = versus.join(named, side, "left").withColumn(
+        edges = edges.join(named, side, "left").withColumn(
             f"slot_{side}",
             F.coalesce(F.pmod(F.xxhash64(other), "_s"), F.lit(0)).cast("int"),
         ).drop("_s")
-    return versus, degrees
+    return edges
 
 
 def sweep(edges: DataFrame, items: DataFrame, prior: float, scale: float, broadcast: bool):
@@ -94,10 +90,10 @@ def bradley_terry(
     join beyond, and carries only item rows from one sweep to the next.
     """
     prior = max(0.0, prior)
-    items, versus, _ = tally(pairs)
-    edges, degrees = _salted(versus, hot_rows)
-    edges = cut(edges)
-    items = items.join(degrees, "item").withColumn("u", F.lit(1.0))
+    by_pair = cut(outcomes_by_pair(split_outcomes(pairs)[0]))
+    items = item_totals(by_pair).select(
+        "item", "wins", slots_of(F.col("degree"), hot_rows).alias("slots"), F.lit(1.0).alias("u")
+    )
     if start is not None:
         begin = start.select("item", F.col("strength").alias("_u"))
         items = items.join(begin, "item", "left").withColumn("u", F.coalesce("_u", "u")).drop("_u")
@@ -105,6 +101,9 @@ def bradley_terry(
     n = items.count()
     if n == 0:
         return items.select("item", F.col("u").alias("strength"))
+    edges = by_pair.select("i", "j", "n")
+    if n > broadcast_rows:
+        edges = cut(_salted(edges, items))
     scale = 1.0
     if start is not None:
         scale = math.exp(items.agg(F.avg(F.ln(F.greatest("u", F.lit(FLOOR))))).first()[0])

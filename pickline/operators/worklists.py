@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from pickline.functions.scalars import make_work_id
 from pickline.operators.groups import group_members
-from pickline.operators.ordering import top_n
+from pickline.operators.ordering import segments, top_n
 from pickline.schemas import NOT_CANDIDATES
 from pickline.sources.assets import time_window
 
@@ -176,19 +175,18 @@ def forget_finals(pairs: DataFrame) -> DataFrame:
 def unplanned_sets(planned: DataFrame, judged: DataFrame) -> DataFrame:
     """Planned sets without a recorded judgment, as a multiset difference.
 
-    Of the planned copies with the same members, as many as were recorded drop out, the first
-    ones first. A round holds a set once, so the copies of one key are bounded by the rounds.
+    Of the planned copies ``(set_id, member_ids)`` with the same members, as many as were recorded
+    drop out, the first ones first.
     """
     key = F.array_sort("member_ids")
     recorded = judged.groupBy(key.alias("key")).agg(F.count("*").alias("done"))
-    copies = Window.partitionBy("key").orderBy("set_id")
-    return (
-        planned.withColumn("key", key)
-        .withColumn("copy", F.row_number().over(copies))
-        .join(recorded, "key", "left")
-        .filter(F.col("copy") > F.coalesce("done", F.lit(0)))
-        .drop("key", "copy", "done")
+    copies = segments(
+        planned.withColumn("key", key), [F.col("key"), F.col("set_id")],
+        lambda p, t: p["key"] == t["key"], F.lit(0),
     )
+    return copies.join(recorded, "key", "left").filter(
+        F.col("pos") >= F.coalesce("done", F.lit(0))
+    ).select(*planned.columns)
 
 
 def decision_filter(
