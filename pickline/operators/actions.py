@@ -16,6 +16,7 @@ from pickline.functions.scalars import detail_text, strip
 from pickline.operators.groups import group_members
 from pickline.operators.worklists import decision_filter, unenriched
 from pickline.schemas import Options
+from pickline.session import cut
 
 OP_TYPE = (
     "struct<op:string, asset_id:string, rating:int, visibility:string, is_favorite:boolean, "
@@ -240,37 +241,42 @@ def reconcile(plan: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
     (ids to stamp: only those whose own action was selected and whose asset had no failure),
     ``stacks`` (group ids to stamp) and one row of ``counters``.
     """
-    ops = exploded_ops(plan).join(outcomes, ["stage", "sort_key", "op_no"], "left").withColumn(
-        "ok", F.coalesce("ok", F.lit(False))
-    )
-    own = ops.filter(F.col("action_asset").isNotNull())
-    assets = own.groupBy(F.col("action_asset").alias("asset_id")).agg(
+    # read by every output below: written once
+    ops = cut(exploded_ops(plan).join(
+        outcomes, ["stage", "sort_key", "op_no"], "left"
+    ).select(
+        "bucket", "burst_id", "action_asset", "op_no", "op", "asset_id", "tag",
+        F.coalesce("ok", F.lit(False)).alias("ok"),
+    ))
+    assets = ops.filter(F.col("action_asset").isNotNull()).groupBy(
+        F.col("action_asset").alias("asset_id")
+    ).agg(
         F.bool_and("ok").alias("ok"),
         F.bool_or(F.col("bucket") == "enrich").alias("has_enrich"),
         F.bool_or(F.col("bucket") != "enrich").alias("has_decision"),
     )
     done = assets.filter("ok")
-    stacks = ops.filter("op = 'stack'")
-    tagged = ops.filter("op = 'tag'").groupBy("tag", "asset_id").agg(F.bool_and("ok").alias("ok"))
-    updated = ops.filter("op = 'update_asset'").groupBy("asset_id").agg(
+    op, ok, bucket = F.col("op"), F.col("ok"), F.col("bucket")
+    writes = ops.filter(op.isin("tag", "update_asset")).groupBy("op", "tag", "asset_id").agg(
         F.bool_and("ok").alias("ok")
     )
-    album = ops.filter("op = 'album'")
-
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias("value")).select(F.lit(name).alias("counter"), "value")
-
-    counters = reduce(DataFrame.unionByName, [
-        count(plan.filter("bucket <> 'album'"), "selected"),
-        count(done, "assets_done"),
-        count(assets.filter("not ok"), "assets_failed"),
-        count(updated.filter("ok"), "assets_updated"),
-        count(tagged.filter("ok"), "assets_tagged"),
-        count(stacks.filter("ok"), "stacks_created"),
-        count(stacks.filter("not ok"), "stacks_failed"),
-        count(album.filter("ok"), "album_assets"),
-        count(done.filter("has_enrich"), "enriched"),
-    ])
+
+    def counts(df: DataFrame, **named: Column) -> DataFrame:
+        row = df.agg(*[F.count_if(c).alias(n) for n, c in named.items()])
+        return row.unpivot([], list(named), "counter", "value")
+
+    counters = counts(
+        ops,
+        selected=(F.col("op_no") == 0) & (bucket != "album"),
+        stacks_created=(op == "stack") & ok,
+        stacks_failed=(op == "stack") & ~ok,
+        album_assets=(op == "album") & ok,
+    ).unionByName(counts(
+        assets, assets_done=ok, assets_failed=~ok, enriched=ok & F.col("has_enrich"),
+    )).unionByName(counts(
+        writes, assets_updated=(op == "update_asset") & ok, assets_tagged=(op == "tag") & ok,
+    ))
+    stacks = ops.filter("op = 'stack'")
     return {
         "assets": assets.select("asset_id", "ok"),
         "decisions": done.filter("has_decision").select("asset_id"),

@@ -96,7 +96,7 @@ VIEWS = {
         where n >= 2 and member <> best_id union all
         select member, worst_id, member from mb join pk using (set_id)
         where n >= 2 and member <> best_id and member <> worst_id""",
-    "it": """select item, sum(case when item = winner then 1.0 else 0.0 end) as wins from
+    "it": """select item, sum(case when item = winner then 1.0::double else 0.0::double end) as wins from
         (select a as item, winner from ip union all select b, winner from ip) group by item""",
     "vs": """select i, j, cast(count(*) as double) as n from (select a as i, b as j from ip
         union all select b, a from ip) group by i, j""",
@@ -416,8 +416,8 @@ ORACLES: dict[str, str] = {
         group by nb, losers""",
     "cost_by_model": """select model, cast(sum(input_tokens) as bigint) as input_tokens,
         cast(sum(output_tokens) as bigint) as output_tokens,
-        round(sum((input_tokens / 1e6 * price_in + output_tokens / 1e6 * price_out)
-        * case when batch then 0.5 else 1.0 end), 6) as cost
+        round(sum((input_tokens / 1e6::double * price_in + output_tokens / 1e6::double * price_out)
+        * case when batch then 0.5::double else 1.0::double end), 4) as cost
         from us left join pm using (model) group by model""",
     "tally_items": "select item, wins from it",
     "tally_versus": "select i, j, n from vs",

@@ -455,7 +455,7 @@ def triage_stats(spark, d):
 @query
 def cost_by_model(spark, d):
     return report.cost_by_model(V.usage(spark, d), V.prices(spark)).withColumn(
-        "cost", F.round("cost", 6))
+        "cost", F.round("cost", 4))
 
 
 @query

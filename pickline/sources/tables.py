@@ -12,14 +12,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def save_tables(tables: dict[str, DataFrame], path: str) -> None:
+def save_tables(
+    tables: dict[str, DataFrame], path: str, mode: str = "errorifexists"
+) -> None:
     """Write the tables as a new version under ``path``.
 
-    A version must not exist yet: a plan that still reads an older one would lose its input. A
-    table directory is complete once its ``_SUCCESS`` marker is there.
+    A version must not exist yet: a plan that still reads an older one would lose its input. Only
+    a repeated micro-batch overwrites the version its first, unfinished run began.
     """
     for name, df in tables.items():
-        align(df, TABLES[name]).write.mode("errorifexists").parquet(f"{path}/{name}")
+        align(df, TABLES[name]).write.mode(mode).parquet(f"{path}/{name}")
 
 
 def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
