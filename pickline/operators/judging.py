@@ -148,7 +148,8 @@ def ingest_results(
     ))
     usable = routed.filter(F.col("failed").isNull())
     singles = checked(parse_replies(usable.filter("kind <> 'burst'"), "triage"), "triage")
-    singles = singles.withColumnRenamed("key", "asset_id").withColumn("raw", F.col("reply"))
+    # several tables follow from the parsed replies: parsed once
+    singles = cut(singles.withColumnRenamed("key", "asset_id").withColumn("raw", F.col("reply")))
     good = singles.filter("error is null")
 
     live = group_members(tables["assets"])
@@ -158,7 +159,8 @@ def ingest_results(
     parsed = parse_replies(shown, "burst").withColumnRenamed("key", "burst_id").join(
         live.withColumnRenamed("member_ids", "_live"), "burst_id", "left"
     ).withColumn("member_ids", F.coalesce("_members", "_live", F.array().cast("array<string>")))
-    groups = checked(parsed, "burst", F.size("member_ids"), strict=False)
+    groups = cut(checked(parsed, "burst", F.size("member_ids"), strict=False).drop(
+        "_members", "_live"))
     won = groups.filter("error is null")
 
     triage, decisions = apply_singles(tables["triage"], tables["decisions"], good, now)

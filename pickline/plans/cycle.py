@@ -109,6 +109,7 @@ def finals_stage(
     if pool.count() < 2:
         return tables
     standing = pool.select(F.col("asset_id").alias("item"), F.col("bt_score").alias("score"))
+    ranked = None
     for _ in range(options.finals_rounds):
         history = compare.pair_history(tables["pairs"])
         pairings = cut(compare.swiss_pairs(standing, history))
@@ -127,7 +128,8 @@ def finals_stage(
         standing = cut(standing.join(
             ranked.select("item", "strength"), "item", "left"
         ).select("item", F.coalesce("strength", "score").alias("score")))
-    tables, ranked = refit(tables, options, now)
+    if ranked is None:
+        tables, ranked = refit(tables, options, now)
     return star_stage(tables, ranked, five, n_scored, options, now)
 
 

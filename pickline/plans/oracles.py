@@ -576,6 +576,16 @@ ORACLES: dict[str, str] = {
         case when id = winner_id then 'winner' when list_contains(reject_ids, id) then 'loser' end
         as role, note from ga left join br using (burst_id) where burst_id is not null""",
 }
+ORACLES["stream_bursts"] = ORACLES["split_groups"]
+ORACLES["watch"] = ORACLES["unjudged_with_groups"]
+ORACLES["stream_results"] = f"""select asset_id, {_bucket('category', 'verdict', 'confidence')}
+    as bucket from rp where usable"""
+ORACLES["judge_with"] = """select doc_id, case when said then case when n_chars % 3 <> 0 then 'photo'
+    else 'meme' end end as category, case when said then n_chars % 12 end as technical_score,
+    case when said and n_chars % 12 < 11 then n_chars else 0 end as input_tokens,
+    case when said and n_chars % 12 < 11 then 7 else 0 end as output_tokens,
+    said and n_chars % 12 < 11 as usable from (select *, n_chars % 13 <> 0 and n_chars % 17 <> 0
+    and n_chars % 19 <> 0 as said from documents)"""
 VIEWS["aoall"] = VIEWS["ao"].replace(" where applied_at is null", "")
 ORACLES["report_summary"] = " union all ".join(
     f"select {i + 1} as ord, '{label}' as label, "

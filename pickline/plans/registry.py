@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +14,14 @@ from pickline.functions import scalars as S
 from pickline.operators import (
     actions, bands, compare, groups, judging, merges, packing, report, strength, worklists,
 )
+from pickline.plans import cycle
 from pickline.plans import views as V
-from pickline.schemas import ASSETS, DECISIONS, Options, align
+from pickline.schemas import ASSETS, DECISIONS, Options, align, empty_tables
+from pickline.session import checkpoint_dir
 from pickline.sources import assets as sources
+from pickline.sources.tables import save_tables
+from pickline.streaming import bursts as stream_ops
+from pickline.streaming import watch as watching
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -906,3 +913,129 @@ def report_bursts(spark, d):
 @query
 def report_summary(spark, d):
     return report.report_summary(V.tables(spark, d))
+
+
+# --- judging, streams and the full cycle -----------------------------------------------------
+
+def label_judge(row: dict) -> dict:
+    """A judge that answers from the row: prose around JSON, some replies unusable."""
+    n = int(row["n_chars"])
+    if n % 13 == 0:
+        return {"text": "cannot tell", "input_tokens": 5}
+    if n % 17 == 0:
+        return {"text": None, "stop_reason": "refusal"}
+    if n % 19 == 0:
+        raise OSError("unreadable")
+    verdict = {
+        "category": "photo" if n % 3 else "meme", "verdict": "neutral", "technical_score": n % 12,
+        "reasons": [], "confidence": "high",
+    }
+    return {"text": f"Sure: {json.dumps(verdict)}", "input_tokens": n, "output_tokens": 7}
+
+
+@query
+def judge_with(spark, d):
+    docs = V.table(spark, d, "documents").select("doc_id", "n_chars")
+    rows = judging.judge_with(docs, label_judge, "triage")
+    return rows.select("doc_id", "category", "technical_score", "input_tokens", "output_tokens",
+                       F.col("error").isNull().alias("usable"))
+
+
+def _workspace(spark) -> str:
+    """A new folder in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def _in_windows(frames: DataFrame, path: str, ts: str, windows: int = 3) -> int:
+    """Write rows in order of equal time windows and return the width of one in seconds."""
+    lo, hi = frames.agg(F.min(F.unix_seconds(ts)), F.max(F.unix_seconds(ts))).first()
+    width = (hi - lo) // windows + 1
+    for k in range(windows):
+        frames.filter(F.floor((F.unix_seconds(ts) - lo) / width) == k).write.mode("append") \
+            .parquet(path)
+    return width
+
+
+@query
+def stream_bursts(spark, d):
+    path = _workspace(spark)
+    frames = V.assets(spark, d, True).select("id", "taken_at", "camera", "dhash")
+    width = _in_windows(frames, f"{path}/in", "taken_at")
+    stream = spark.readStream.schema(stream_ops.FRAME).option("maxFilesPerTrigger", 1).parquet(
+        f"{path}/in")
+    run = stream_ops.stream_bursts(stream, path, V.GAP_SECONDS, 26, V.MAX_GROUP, width)
+    run.awaitTermination()
+    return stream_ops.emitted_groups(spark, path).unionByName(stream_ops.open_groups(
+        spark, path, run.lastProgress["batchId"], V.GAP_SECONDS, 26, V.MAX_GROUP))
+
+
+@query
+def watch(spark, d):
+    path = _workspace(spark)
+    rows = align(V.assets(spark, d), ASSETS)
+    _in_windows(rows, f"{path}/in", "taken_at")
+    stream = spark.readStream.schema(ASSETS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    tables = {**empty_tables(spark), "triage": V.triage(spark, d)}
+    save_tables(tables, f"{path}/start")
+    run = watching.watch(stream, path, once=True, start=f"{path}/start")
+    run.awaitTermination()
+    now = watching.latest(spark, path, run)
+    return worklists.unjudged(now["assets"], now["triage"]).select("id")
+
+
+@query
+def stream_results(spark, d):
+    path = _workspace(spark)
+    for batch in ("b0", "b1", "b2", "b3"):
+        V.replies(spark, d).filter(F.col("batch_id") == batch).select(
+            "custom_id", "reply", "error").write.mode("append").parquet(f"{path}/in")
+    tables = {**empty_tables(spark), "batch_items": V.batch_items(spark, d),
+              "batches": V.batches(spark, d)}
+    save_tables(tables, f"{path}/start")
+    stream = spark.readStream.schema("custom_id string, reply string, error string").option(
+        "maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    run = watching.stream_results(stream, path, f"{path}/start", once=True)
+    run.awaitTermination()
+    now = watching.latest(spark, path, run)
+    return now["decisions"].select("asset_id", "bucket")
+
+
+def burst_judge(row: dict) -> dict:
+    """The last frame wins, the others lose."""
+    n = len(row["member_ids"])
+    return {"text": json.dumps({"best_index": n, "reject_indices": list(range(1, n)),
+                                "note": "last"})}
+
+
+def event_judge(row: dict) -> dict:
+    """A verdict from the digits of the id."""
+    n = int(row["id"][1:])
+    verdict = {
+        "category": "photo" if n % 10 else "document",
+        "verdict": "candidate" if n % 40 == 1 else "reject" if n % 7 == 3 else "neutral",
+        "technical_score": n % 8, "reasons": ["r"], "confidence": "high" if n % 2 else "low",
+    }
+    return {"text": json.dumps(verdict), "input_tokens": 1, "output_tokens": 1}
+
+
+def set_judge(row: dict) -> dict:
+    """The greatest reversed id is best, the least worst."""
+    keys = [m[::-1] for m in row["member_ids"]]
+    return {"text": json.dumps({"best_index": keys.index(max(keys)) + 1,
+                                "worst_index": keys.index(min(keys)) + 1, "note": ""})}
+
+
+def pair_judge(row: dict) -> dict:
+    """The greater reversed id wins."""
+    a, b = row["a_id"][::-1], row["b_id"][::-1]
+    return {"text": json.dumps({"winner": "A" if a > b else "B", "note": ""})}
+
+
+@query
+def run_cycle(spark, d):
+    world = {**empty_tables(spark), "assets": align(V.assets(spark, d, True), ASSETS)}
+    judges = {"burst": burst_judge, "triage": event_judge, "bws": set_judge, "pair": pair_judge}
+    options = Options(burst_gap_seconds=V.GAP_SECONDS, burst_max_group=V.MAX_GROUP,
+                      finals_rounds=1, fit_iterations=8)
+    tables, _ = cycle.run_cycle(world, judges, options)
+    return report.report_summary(tables)
