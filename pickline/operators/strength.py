@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pickline.operators.compare import item_totals, outcomes_by_pair, split_outcomes
@@ -37,15 +37,13 @@ def _salted(edges: DataFrame, items: DataFrame) -> DataFrame:
     return edges
 
 
-def sweep(edges: DataFrame, items: DataFrame, prior: float, scale: float, broadcast: bool):
-    """One minorize-maximize step: ``(item, wins, slots, s, u)`` with ``u`` not normalized yet.
+def sweep(edges: DataFrame, current: DataFrame, prior: float, broadcast: bool) -> DataFrame:
+    """One minorize-maximize step: adds ``u``, the new strength before normalizing, to ``current``.
 
-    ``items`` holds the last raw strengths ``u``; ``s`` is ``u / scale``. Every unordered pair is
-    stored once and its share of the denominator goes to both sides, combined map-side.
+    ``current`` holds ``(item, wins, slots, s, before)`` with the strengths ``s`` to start from.
+    Every unordered pair is stored once and its share of the denominator goes to both sides,
+    combined map-side.
     """
-    current = items.select(
-        "item", "wins", "slots", F.greatest(F.col("u") / scale, F.lit(FLOOR)).alias("s")
-    )
     joined = edges
     for side in ("i", "j"):
         if broadcast:
@@ -62,66 +60,100 @@ def sweep(edges: DataFrame, items: DataFrame, prior: float, scale: float, broadc
     load = joined.select(
         F.explode(F.array("i", "j")).alias("item"), share.alias("share")
     ).groupBy("item").agg(F.sum("share").alias("load"))
-    own = F.col("s")
-    denominator = F.lit(2.0 * prior) / (own + 1.0) + F.col("load")
+    denominator = F.lit(2.0 * prior) / (F.col("s") + 1.0) + F.col("load")
     return current.join(load, "item").select(
-        "item", "wins", "slots", "s",
+        *current.columns,
         F.greatest((F.col("wins") + prior) / denominator, F.lit(FLOOR)).alias("u"),
     )
 
 
+def _extrapolated(scale: float, seen: dict) -> Column:
+    """Strengths beyond two plain sweeps, from ``before`` over ``s`` to ``u / scale``.
+
+    In logarithms the two steps r and r + v give the point ``before - 2 a r + a^2 v`` with
+    ``a = -|r| / |v|`` (squared extrapolation). It keeps the geometric mean at 1.
+    """
+    shift = math.log(scale)
+    r2, w, w2 = seen["r2"], seen["w"], seen["w2"]
+    v2 = w2 - 2 * shift * w + shift * shift
+    a = -max(1.0, math.sqrt(r2 / v2)) if v2 > 0 else -1.0
+    last = F.ln("u") - shift
+    r = F.ln("s") - F.ln("before")
+    v = last - 2.0 * F.ln("s") + F.ln("before")
+    return F.greatest(F.exp(F.ln("before") - 2.0 * a * r + a * a * v), F.lit(FLOOR))
+
+
 def bradley_terry(
     pairs: DataFrame,
     iterations: int = 500,
     tol: float = 1e-8,
     prior: float = 0.5,
     start: DataFrame | None = None,
+    accelerate: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Strengths ``(item, strength)`` with geometric mean 1, from outcomes ``(a, b, winner)``.
 
     Every item gets ``prior`` wins and losses against an opponent of strength 1. Sweeps stop once
-    the largest relative change falls below ``tol``. ``start (item, strength)`` begins from
-    stored strengths; the fixed point is the same. Error rows of the tally are left out.
+    the largest relative change of one falls below ``tol``, or after ``iterations``. The fixed
+    point does not depend on where sweeps begin, so two things save sweeps: ``start (item,
+    strength)`` begins from stored strengths, and ``accelerate`` extrapolates after every second
+    sweep. Turn it off to get the strengths after an exact number of sweeps. Error rows of the
+    tally are left out.
 
-    The pair table is aggregated and written once. A sweep moves the strengths to the edges, by
+    The pair table is aggregated and written once. A sweep moves the strengths to the pairs, by
     broadcast while their counted number is within ``broadcast_rows`` and by a salted shuffle
-    join beyond, and carries only item rows from one sweep to the next.
+    join beyond, and carries only item rows on. It is one job: the scale and the change are
+    observed while the item rows are written.
     """
     prior = max(0.0, prior)
     by_pair = cut(outcomes_by_pair(split_outcomes(pairs)[0]))
     items = item_totals(by_pair).select(
-        "item", "wins", slots_of(F.col("degree"), hot_rows).alias("slots"), F.lit(1.0).alias("u")
+        "item", "wins", slots_of(F.col("degree"), hot_rows).alias("slots"), F.lit(1.0).alias("s")
     )
     if start is not None:
-        begin = start.select("item", F.col("strength").alias("_u"))
-        items = items.join(begin, "item", "left").withColumn("u", F.coalesce("_u", "u")).drop("_u")
-    items = cut(items)
+        begin = start.select("item", F.greatest("strength", F.lit(FLOOR)).alias("_s"))
+        items = items.join(begin, "item", "left").withColumn("s", F.coalesce("_s", "s")).drop("_s")
+    items = cut(items.withColumn("before", F.lit(None).cast("double")))
     n = items.count()
     if n == 0:
-        return items.select("item", F.col("u").alias("strength"))
+        return items.select("item", F.col("s").alias("strength"))
     edges = by_pair.select("i", "j", "n")
     if n > broadcast_rows:
         edges = cut(_salted(edges, items))
-    scale = 1.0
     if start is not None:
-        scale = math.exp(items.agg(F.avg(F.ln(F.greatest("u", F.lit(FLOOR))))).first()[0])
+        first = math.exp(items.agg(F.avg(F.ln("s"))).first()[0])
+        items = items.withColumn("s", F.col("s") / first)
+    ratio, second = F.col("u") / F.col("s"), False
+    step = F.ln("s") - F.ln("before")
+    bend = F.ln("u") - 2.0 * F.ln("s") + F.ln("before")
     for _ in range(max(1, iterations)):
-        items = cut(sweep(edges, items, prior, scale, n <= broadcast_rows))
-        ratio = F.col("u") / F.col("s")
-        log_mean, high, low, least = items.agg(
-            F.avg(F.ln("u")), F.max(ratio), F.min(ratio), F.min("u")
-        ).first()
-        scale = math.exp(log_mean)
-        if least / scale <= FLOOR * (1 + 1e-9):  # the floor holds some strengths in place
-            change = F.abs(F.greatest(F.col("u") / scale, F.lit(FLOOR)) - F.col("s")) / F.col("s")
-            delta = items.agg(F.max(change)).first()[0]
+        watch = Observation()
+        swept = cut(sweep(edges, items, prior, n <= broadcast_rows).observe(
+            watch,
+            F.avg(F.ln("u")).alias("log_mean"), F.max(ratio).alias("high"),
+            F.min(ratio).alias("low"), F.min("u").alias("least"),
+            F.avg(step * step).alias("r2"), F.avg(bend).alias("w"),
+            F.avg(bend * bend).alias("w2"),
+        ))
+        seen = watch.get
+        scale = math.exp(seen["log_mean"])
+        normal = F.greatest(F.col("u") / scale, F.lit(FLOOR))
+        if seen["least"] / scale <= FLOOR * (1 + 1e-9):  # the floor holds some strengths in place
+            delta = swept.agg(F.max(F.abs(normal - F.col("s")) / F.col("s"))).first()[0]
         else:
-            delta = max(abs(high / scale - 1.0), abs(low / scale - 1.0))
+            delta = max(abs(seen["high"] / scale - 1.0), abs(seen["low"] / scale - 1.0))
         if delta < tol:
             break
-    return items.select("item", F.greatest(F.col("u") / scale, F.lit(FLOOR)).alias("strength"))
+        jump = accelerate and second
+        items = swept.select(
+            "item", "wins", "slots",
+            (_extrapolated(scale, seen) if jump else normal).alias("s"),
+            (F.lit(None).cast("double") if jump else F.col("s")).alias("before"),
+        )
+        second = accelerate and not second
+    return swept.select("item", normal.alias("strength"))
 
 
 def _near(a, b):

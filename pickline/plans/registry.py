@@ -559,14 +559,14 @@ def collect_pairs(spark, d):
 @query
 def bradley_terry_sweeps(spark, d):
     pairs = compare.expand_members(*V.order_sets(spark, d))
-    return strength.bradley_terry(pairs, iterations=3, tol=0.0).withColumn(
+    return strength.bradley_terry(pairs, iterations=3, tol=0.0, accelerate=False).withColumn(
         "strength", F.round("strength", 6))
 
 
 @query
 def bradley_terry(spark, d):
     pairs = compare.expand_members(*V.order_sets(spark, d))
-    return strength.bradley_terry(pairs, tol=1e-3)
+    return strength.bradley_terry(pairs, tol=1e-6)
 
 
 @query

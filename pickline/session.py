@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: What the operators are tuned for. AQE coalesces shuffle partitions at run time and splits hot
-#: join partitions; finished checkpoints are removed once no DataFrame refers to them.
+#: join partitions.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
@@ -54,10 +54,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the files.
+    """Write ``df`` as a table in the checkpoint folder and go on from its files.
 
     Used where a later step must see exactly the rows an earlier one saw (sampled range bounds,
-    replies of a judge) and where a loop would otherwise grow its plan.
+    replies of a judge), where several outputs share an expensive input, and where a loop would
+    otherwise grow its plan. A table is preferred to a checkpoint of the plan: its size is known
+    to the planner, readers prune its columns, and nothing of the old plan (partitionings that
+    multiply with every join of a loop) is carried on.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
