@@ -41,6 +41,7 @@ def capture_time(*cols: Column) -> Column:
     def parse(col: Column) -> Column:
         text = F.regexp_replace(strip(col), "[zZ]$", "+00:00")
         text = F.regexp_replace(text, ",", ".")
+        text = F.regexp_replace(text, r"([T ]\d{2}:\d{2})($|[+-])", "$1:00$2")
         zoned = F.when(text.rlike(r"[+-]\d{2}:\d{2}(:\d{2})?$") & text.rlike(r":\d{2}.*[+-]\d{2}:"),
                        text)
         utc = F.when(zoned.isNull() & text.rlike(r"[T ]"), F.concat(text, F.lit("+00:00")))

@@ -157,13 +157,17 @@ def carried_scan(
 
     def run(key, block, carry):
         if block.empty:  # a carry past the last block
-            return pd.DataFrame({"block": [], "is_carry": [], "r": [], "c": []})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("block", "is_carry", "r", "c")})
         done, out = scan(block, carry)
+        rows, handed = (
+            frame[names].to_dict("records")
+            for frame, names in ((done, row_names), (out, carry_names))
+        )
         return pd.DataFrame({
-            "block": [key[0]] * (len(done) + len(out)),
-            "is_carry": [False] * len(done) + [True] * len(out),
-            "r": done[row_names].to_dict("records") + [None] * len(out),
-            "c": [None] * len(done) + out[carry_names].to_dict("records"),
+            "block": key[0],
+            "is_carry": [False] * len(rows) + [True] * len(handed),
+            "r": pd.Series(rows + [None] * len(handed), dtype=object),
+            "c": pd.Series([None] * len(rows) + handed, dtype=object),
         })
 
     carry_type = f"block bigint, c struct<{carry_ddl}>"

@@ -51,7 +51,7 @@ def hash_images(spark: SparkSession, path: str, hash_size: int = 8) -> DataFrame
         spark.read.format("image").option("dropInvalid", "false")
         .option("recursiveFileLookup", "true").load(path)
     )
-    return images.select(
-        F.col("image.origin").alias("path"),
-        dhash_bits(grey_grid(hash_size)(F.col("image")), hash_size).alias("dhash"),
+    grids = images.select(
+        F.col("image.origin").alias("path"), grey_grid(hash_size)(F.col("image")).alias("grid")
     )
+    return grids.select("path", dhash_bits(F.col("grid"), hash_size).alias("dhash"))
