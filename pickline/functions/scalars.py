@@ -133,7 +133,11 @@ def dhash_bits(grid: Column, hash_size: int = 8) -> Column:
 
 def normalize_keywords(arr: Column) -> Column:
     """Lower case, single blanks, no empties, first occurrences, at most eight."""
-    words = F.transform(arr, lambda w: strip(F.regexp_replace(F.lower(w), BLANK, " ")))
+    def clean(word: Column) -> Column:  # most words have no blanks: one match is enough for them
+        spaced = strip(F.regexp_replace(F.lower(word), BLANK, " "))
+        return F.when(word.rlike(BLANK), spaced).otherwise(F.lower(word))
+
+    words = F.transform(arr, clean)
     return F.slice(F.array_distinct(F.filter(words, lambda w: w != "")), 1, MAX_KEYWORDS)
 
 

@@ -31,15 +31,14 @@ def cap_candidates(
     placed = with_position(
         rows.filter(F.col("bt_score").isNotNull()), F.col("bt_score").desc(), *ties, F.col(key)
     )
-    size = placed.agg(F.count("*").alias("n"))
+    n = placed.count()
     if limit == 1:
-        picks = size.select(F.lit(0).cast("bigint").alias("position"))
+        picks = cands.sparkSession.range(1).withColumnRenamed("id", "position")
     else:
         # positions come from a range of the option's size, not from the data
-        spread = F.bround(F.col("id") * (F.col("n") - 1) / F.lit(limit - 1))
-        picks = cands.sparkSession.range(limit).join(F.broadcast(size)).select(
-            F.when(F.col("n") <= limit, F.col("id")).otherwise(spread).cast("bigint")
-            .alias("position")
+        spread = F.bround(F.col("id") * F.lit(n - 1) / F.lit(limit - 1)).cast("bigint")
+        picks = cands.sparkSession.range(limit).select(
+            (F.col("id") if n <= limit else spread).alias("position")
         ).distinct()
     anchors = placed.join(picks, "position", "left_semi")
     return rows.filter(F.col("bt_score").isNull()).select(key, "bt_score").unionByName(
@@ -61,7 +60,7 @@ def top_pool(scores: DataFrame, five: int, floor: int = 50) -> DataFrame:
     return top_n(scored, max(floor, 2 * five, 0), *by_strength())
 
 
-def _banded(placed: DataFrame, fives: Column, fours: Column, rest: int | None) -> DataFrame:
+def _banded(placed: DataFrame, fives: int, fours: int, rest: int | None) -> DataFrame:
     stars = F.when(F.col("position") < fives, 5).when(F.col("position") < fives + fours, 4)
     if rest is not None:
         stars = stars.otherwise(rest)
@@ -76,11 +75,10 @@ def star_bands(
     The share is truncated and both inputs are clamped. Items below get null, or 3 with ``full``.
     """
     placed = with_position(ranked, *by_strength())
-    size = F.broadcast(placed.agg(F.count("*").alias("_n")))  # one row
-    fives = F.greatest(F.lit(0), F.least(F.lit(int(five_count)), F.col("_n")))
-    frac = min(max(four_frac, 0.0), 1.0)
-    fours = F.floor((F.col("_n") - fives) * F.lit(frac))
-    return _banded(placed.join(size), fives, fours, 3 if full else None).drop("_n")
+    n = placed.count()
+    fives = max(0, min(int(five_count), n))
+    fours = int((n - fives) * min(max(four_frac, 0.0), 1.0))
+    return _banded(placed, fives, fours, 3 if full else None)
 
 
 def fraction_bands(
@@ -96,15 +94,10 @@ def fraction_bands(
     ``n_scored`` and ``five_count`` replace the number of ranked rows and the five-star share.
     """
     placed = with_position(ranked, *by_strength())
-    size = F.broadcast(placed.agg(F.count("*").alias("_n")))  # one row
-    n = F.col("_n") if n_scored is None else F.lit(n_scored)
-    fives = (
-        F.greatest(F.lit(1), F.bround(n * F.lit(five)).cast("bigint"))
-        if five_count is None else F.lit(five_count)
-    )
-    fives = F.least(fives, F.col("_n"))
-    fours = F.bround(n * F.lit(four)).cast("bigint")
-    return _banded(placed.join(size), fives, fours, 3 if full else None).drop("_n")
+    n = placed.count()
+    scored = n if n_scored is None else n_scored
+    fives = max(1, round(scored * five)) if five_count is None else five_count
+    return _banded(placed, min(fives, n), round(scored * four), 3 if full else None)
 
 
 def prior_fives(scores: DataFrame, decisions: DataFrame) -> DataFrame:

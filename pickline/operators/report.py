@@ -58,28 +58,32 @@ def triage_stats(singles: DataFrame, bursts: DataFrame, errors: DataFrame) -> Da
     ``singles`` holds ``bucket, verdict, input_tokens, output_tokens``, ``bursts`` ``reject_ids``
     and the token columns, ``errors`` one row per failed item.
     """
-    one = singles.agg(
-        F.count("*").alias("singles_judged"),
-        F.count_if(F.col("bucket") == "reject").alias("rejects"),
-        F.count_if(F.col("bucket") == "nonphoto").alias("nonphotos"),
-        F.count_if(F.col("bucket") == "middle").alias("middles"),
-        F.count_if(F.col("verdict") == "candidate").alias("candidates"),
-        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("_i1"),
-        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("_o1"),
-    )
-    two = bursts.agg(
-        F.count("*").alias("bursts_judged"),
-        F.coalesce(F.sum(F.size("reject_ids").cast("bigint")), F.lit(0)).alias("burst_losers"),
-        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("_i2"),
-        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("_o2"),
-    )
-    three = errors.agg(F.count("*").alias("errors"))
-    # three single-row aggregates side by side
-    return one.join(F.broadcast(two)).join(F.broadcast(three)).select(
+    def tokens(*columns: str) -> list:
+        return [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in columns]
+
+    used = ("input_tokens", "output_tokens")
+    parts = [
+        singles.agg(
+            F.count("*").alias("singles_judged"),
+            F.count_if(F.col("bucket") == "reject").alias("rejects"),
+            F.count_if(F.col("bucket") == "nonphoto").alias("nonphotos"),
+            F.count_if(F.col("bucket") == "middle").alias("middles"),
+            F.count_if(F.col("verdict") == "candidate").alias("candidates"),
+            *tokens(*used),
+        ),
+        bursts.agg(
+            F.count("*").alias("bursts_judged"),
+            F.coalesce(F.sum(F.size("reject_ids").cast("bigint")), F.lit(0)).alias("burst_losers"),
+            *tokens(*used),
+        ),
+        errors.agg(F.count("*").alias("errors")),
+    ]
+    # three one-row aggregates, added up by column
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*tokens(
         "bursts_judged", "burst_losers", "singles_judged", "rejects", "nonphotos", "candidates",
-        "middles", "errors", (F.col("_i1") + F.col("_i2")).alias("input_tokens"),
-        (F.col("_o1") + F.col("_o2")).alias("output_tokens"),
-    )
+        "middles", "errors", *used,
+    ))
 
 
 def price_join(usage: DataFrame, prices: DataFrame) -> DataFrame:

@@ -325,9 +325,11 @@ def forget_triage(spark, d):
 def forget_rank(spark, d):
     sets, pairs, sc = worklists.forget_rank(
         V.bws_sets(spark, d), V.duel_pairs(spark, d), V.scores(spark, d))
-    return sets.agg(F.count("*").alias("n_sets")).join(
-        F.broadcast(pairs.agg(F.count("*").alias("n_pairs")))).join(F.broadcast(sc.agg(
-            F.count("bt_score").alias("n_scored"), F.count("stars").alias("n_starred"))))
+    counts = sets.agg(F.count("*").alias("n_sets")).unionByName(
+        pairs.agg(F.count("*").alias("n_pairs")), allowMissingColumns=True).unionByName(
+        sc.agg(F.count("bt_score").alias("n_scored"), F.count("stars").alias("n_starred")),
+        allowMissingColumns=True)
+    return counts.agg(*[F.sum(c).alias(c) for c in counts.columns])
 
 
 @query
