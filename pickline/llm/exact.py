@@ -45,7 +45,7 @@ def heavy_winners(digests: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY
             F.xxhash64("digest").alias("h"), F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("g")
         )
         .groupBy("g").agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("s"))
-        .groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+        .withColumn("all", F.col("g") * 0).groupBy("all").agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("t"))
         .select(F.col("t.item").alias("h"))
     )
