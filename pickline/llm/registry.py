@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pickline.llm import exact
+from pickline.llm import exact, packages
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
+    "op5_web_packages": packages.op5_web_packages,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact.OP1_SQL,
+    "op5_web_packages": packages.OP5_SQL,
 }
