@@ -31,6 +31,8 @@ from pickline.session import cut
 MEMBER_BYTES = 8 << 20
 #: Most bytes of a member read at once; a longer record is read whole.
 READ_BYTES = 4 << 20
+#: Most tasks that the members are dealt out to; further members share tasks.
+READERS = 20_000
 #: Where ZIP's 32-bit and 16-bit fields end and ZIP64's begin.
 LIMIT_32, LIMIT_16 = 0xFFFFFFFF, 0xFFFF
 
@@ -330,8 +332,9 @@ def read_packages(spark: SparkSession, path: str, payloads: bool = False,
                         yield pd.DataFrame(out)
 
     found = listed.mapInPandas(members, "path string, data long, index long, index_bytes long, content binary")
-    if access != "content":
-        found = found.repartition("path", "data")
+    if access != "content":  # rows of some bytes that stand for megabytes: one task each
+        found = cut(found)
+        found = found.repartition(max(1, min(found.count(), READERS)))
 
     def typed(batches):
         names = [c.split()[0] for c in RECORD.split(", ")] + ["payload"] * payloads

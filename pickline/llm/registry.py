@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pickline.llm import exact, packages
+from pickline.llm import exact, fill, packages
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op5_web_packages": packages.op5_web_packages,
+    "op7_pack": fill.op7_pack,
 }
 
 ORACLES = {
