@@ -34,6 +34,16 @@ SLICE_BYTES = 2 << 20
 CACHED = 300_000
 
 
+def _byte_names() -> dict[int, int]:
+    """The characters by which byte-level models call the bytes that don't print."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+BYTE_NAMES = _byte_names()
+
+
 # ---- tokens -------------------------------------------------------------------------------------
 
 class ChunkTokenizer:
@@ -51,23 +61,52 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
         self.flat, self.ends = array("I"), array("q", [0])
 
+    def _word(self, chunk: str) -> list[int] | None:
+        """Ids of a plain word, with or without a mark after it; None for any other chunk.
+
+        A word of letters below U+0100 is one piece for the pattern, its normal form is itself in
+        lower case, and the model takes its bytes as the characters that stand for them.
+        """
+        mark = self.marks.get(chunk[-1])
+        word = (chunk[:-1] if mark else chunk).lower()
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
+            return None
+        ids = self.words.get(word)
+        if ids is None:
+            plain = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_NAMES)
+            ids = self.words[word] = [t.id for t in self.model.tokenize(plain)]
+        return ids + mark if mark else ids
+
     def _learn(self, chunks: list[str]) -> None:
         if len(self.known) + len(chunks) > CACHED:
             self.clear()
-        new = [c for c in chunks if c not in self.known]
-        for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
+        other = []
+        for chunk in chunks:
+            if chunk not in self.known:
+                ids = self._word(chunk) if chunk else []
+                if ids is None:
+                    other.append(chunk)
+                else:
+                    self._add(chunk, ids)
+        for i in range(0, len(other), 5000):
+            some = other[i : i + 5000]
             for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False),
                                 strict=True):
-                self.flat.extend(e.ids)
-                self.known[chunk] = len(self.ends) - 1
-                self.ends.append(len(self.flat))
+                self._add(chunk, e.ids)
+
+    def _add(self, chunk: str, ids: list[int]) -> None:
+        self.known[chunk] = len(self.ends) - 1
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of an Arrow string array one after the other, and where each ends."""

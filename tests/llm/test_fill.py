@@ -74,7 +74,9 @@ def test_empty_table(spark):
     assert fill.pack_documents(docs, PATH).collect() == []
 
 
-@given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=30), max_size=8))
+@given(st.lists(st.one_of(
+    st.text(alphabet=st.characters(codec="utf-8"), max_size=30),
+    st.text(alphabet="aZéÉßµªÿøĀıİ.,;'s1 ", max_size=12)), max_size=8))
 @settings(max_examples=300, deadline=None)
 def test_chunks_give_the_ids_of_whole_texts(texts):
     own = fill._tokenizer(PATH)
