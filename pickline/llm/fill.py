@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pickline.llm.common import narrowed, table, whole_text
+from pickline.llm.shingles import slices
 from pickline.session import cut
 
 SIZE = 2048
@@ -135,18 +136,6 @@ def _tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def _slices(texts, limit: int):
-    """Runs of rows of an Arrow string array with at most ``limit`` bytes, or one row."""
-    import pyarrow.compute as pc
-
-    stops = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(stops, (stops[i - 1] if i else 0) + limit, "right")))
-        yield i, j
-        i = j
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: ``(doc_id, piece, start, length, ids_crc32, part, local)``.
 
@@ -161,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: boo
         tokenizer = _tokenizer(tokenizer_path)
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            for i, j in _slices(batch["text"], SLICE_BYTES):
+            for i, j in slices(batch["text"], SLICE_BYTES):
                 rows = batch.slice(i, j - i)
                 ids, ends = tokenizer.encode(rows["text"])
                 out, own = [], []

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pickline.llm import exact, fill, packages
+from pickline.llm import exact, fill, jaccard, packages
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op5_web_packages": packages.op5_web_packages,
     "op7_pack": fill.op7_pack,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
 }
 
 ORACLES = {
