@@ -13,7 +13,7 @@
 
 Every text is sent to its cell once (a heavy cell's to its block pairs); no pair is ever a row of a
 table except pairs of cells that share a shingle, and of those a shingle gives at most
-``SMALL_LIST`` squared halves; a longer list of cells becomes one cell.
+half of ``SMALL_LIST`` squared; a longer list of cells becomes one cell.
 """
 
 from __future__ import annotations
@@ -31,17 +31,24 @@ from pickline.session import cut
 WORDS = 5
 PERCENT = 75
 #: Counters of a task's summary of frequent shingles, and of the shingles ordered last.
-COUNTERS, FREQUENT, FREQUENT_FROM = 8192, 65_536, 32
+COUNTERS, FREQUENT, FREQUENT_FROM = 65_536, 65_536, 32
 #: Cells of one shingle that are paired; more are joined to one cell.
-SMALL_LIST = 64
+SMALL_LIST = 512
 #: Shingles of all sets that one task joins.
 CELL_SHINGLES = 2_000_000
 LEAF = 16
 
 
 def least_shared(n):
-    """How many shingles of its prefix a set of ``n`` shares at least with any similar one."""
-    return 1 + n // 32
+    """How many shingles of its prefix a set of ``n`` shares at least with any similar one.
+
+    More means longer prefixes and fewer cells of sets that only share a passage.
+    """
+    return 1 + np.maximum(n // 32, np.minimum(n // 4, 10))
+
+
+#: The same in SQL.
+LEAST_SHARED_SQL = "1 + greatest(floor(n / 32), least(floor(n / 4), 10))"
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -159,17 +166,17 @@ def _sized(docs: DataFrame, words: int) -> DataFrame:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         names = ["doc_id", "th", "rid", "n", "counter"]
         for batch in batches:
+            parts = [keys]
             for i, j, hashes, ends in _by_slice(batch["text"], words):
+                parts.append(hashes)
                 sizes = np.diff(ends, prepend=0)
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].slice(i, j - i), batch["th"].slice(i, j - i),
                      pa.array(set_ids(hashes, ends)), pa.array(sizes, pa.int64()),
                      pa.array(np.zeros(j - i, bool))], names)
-                k, c = np.unique(hashes, return_counts=True)
-                k, c = _tighten(k, c, COUNTERS)
-                k, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                keys, counts = _tighten(
-                    k, np.bincount(back, np.concatenate([counts, c]), len(k)).astype(np.int64), COUNTERS)
+            k, c = np.unique(np.concatenate(parts), return_counts=True)
+            c[np.searchsorted(k, keys)] += counts - 1
+            keys, counts = _tighten(k, c, COUNTERS)
         none = pa.nulls(len(keys), pa.int64())
         yield pa.RecordBatch.from_arrays(
             [none, none, pa.array(keys.view(np.int64)), pa.array(counts), pa.array(np.ones(len(keys), bool))],
@@ -289,9 +296,9 @@ def _cell_pairs(lists: DataFrame, percent: int) -> DataFrame:
                     out.append((chained, cell, 0))
                 elif cells and cells[-1][0] == cell:
                     own = cells[-1]
-                    own[1], own[2], own[3] = min(own[1], lo), max(own[2], hi), min(own[3], least_shared(lo))
+                    own[1], own[2], own[3] = min(own[1], lo), max(own[2], hi), min(own[3], int(least_shared(lo)))
                 else:
-                    cells.append([cell, lo, hi, least_shared(lo)])
+                    cells.append([cell, lo, hi, int(least_shared(lo))])
                     if len(cells) > SMALL_LIST:
                         chained = cells[0][0]
                         out += [(chained, x[0], 0) for x in cells[1:]]
@@ -351,9 +358,11 @@ def _cells(entries: DataFrame, percent: int) -> DataFrame:
     """``(rid, cell)`` for sets that may be similar to another; see the module's text."""
     shared = cut(_shared(entries))
     stars = (
-        shared.filter("rid != centre").groupBy("rid", "centre")
+        shared.filter("rid != centre")
+        .filter((100 * F.col("n") >= percent * F.col("c_n")) & (100 * F.col("c_n") >= percent * F.col("n")))
+        .groupBy("rid", "centre")
         .agg(F.count("*").alias("c"), F.least(F.min("n"), F.min("c_n")).alias("n"))
-        .filter("c >= 1 + floor(n / 32)")
+        .filter(f"c >= {LEAST_SHARED_SQL}")
         .select(F.greatest("rid", "centre").alias("hi"), F.least("rid", "centre").alias("lo"))
     )
     stars = cut(component_roots(stars))
