@@ -4,8 +4,8 @@
 2. A set's shingles have a global order: rare ones by hash, then those that mergeable
    Misra-Gries summaries call frequent. Two sets that are similar enough share some shingles of
    their prefixes, at least ``least_shared`` of them. Sets are gathered into cells so that every
-   such pair lies in one cell: first along the least set of each shared shingle, then between the
-   cells that still share shingles. Cells may be too coarse, never too fine.
+   such pair lies in one cell: first along the least set, then the least cell, of each shared
+   shingle, then between any cells that still share shingles. Cells may be too coarse, never too fine.
 3. Each cell is joined by a signature tree: nodes hold OR-combined bitmaps and size ranges, and the
    traversal of node pairs drops those whose largest possible overlap is too small, and those
    already in one component. Pairs that are left are compared exactly. A cell heavier than
@@ -33,7 +33,9 @@ PERCENT = 75
 #: Counters of a task's summary of frequent shingles, and of the shingles ordered last.
 COUNTERS, FREQUENT, FREQUENT_FROM = 65_536, 65_536, 32
 #: Cells of one shingle that are paired; more are joined to one cell.
-SMALL_LIST = 512
+SMALL_LIST = 128
+#: Rounds in which sets, then cells, are gathered along the least one of each shared shingle.
+STAR_ROUNDS = 2
 #: Shingles of all sets that one task joins.
 CELL_SHINGLES = 2_000_000
 LEAF = 16
@@ -262,12 +264,12 @@ def _shared(entries: DataFrame) -> DataFrame:
                  pa.array([centre[0]], pa.int64()), pa.array([centre[1]], pa.int32())],
                 ["h", "rid", "n", "centre", "c_n"])
 
-    return entries.repartition("h").sortWithinPartitions("h", "rid").mapInArrow(
+    return entries.repartition("h").sortWithinPartitions("h", "rid", "n").mapInArrow(
         read, "h long, rid long, n int, centre long, c_n int")
 
 
 def _cell_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """``(lo, hi, need)`` for cells that share a shingle, read in the order ``(h, cell)``.
+    """``(lo, hi, need)`` for cells ``rid`` that share a shingle, read in the order ``(h, rid)``.
 
     ``need`` is how many shingles the two must share at least to matter, 0 if they must be joined
     whatever else they share.
@@ -288,7 +290,7 @@ def _cell_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for h, cell, lo, hi in zip(*(batch[c].to_pylist() for c in ("h", "cell", "lo", "hi")), strict=True):
+            for h, cell, n in zip(*(batch[c].to_pylist() for c in ("h", "rid", "n")), strict=True):
                 if h != open_h:
                     out += close() if chained is None else []
                     open_h, cells, chained = h, [], None
@@ -296,9 +298,9 @@ def _cell_pairs(lists: DataFrame, percent: int) -> DataFrame:
                     out.append((chained, cell, 0))
                 elif cells and cells[-1][0] == cell:
                     own = cells[-1]
-                    own[1], own[2], own[3] = min(own[1], lo), max(own[2], hi), min(own[3], int(least_shared(lo)))
+                    own[1], own[2], own[3] = min(own[1], n), max(own[2], n), min(own[3], int(least_shared(n)))
                 else:
-                    cells.append([cell, lo, hi, int(least_shared(lo))])
+                    cells.append([cell, n, n, int(least_shared(n))])
                     if len(cells) > SMALL_LIST:
                         chained = cells[0][0]
                         out += [(chained, x[0], 0) for x in cells[1:]]
@@ -314,7 +316,7 @@ def _cell_pairs(lists: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(need, pa.int32())], ["lo", "hi", "need"])
 
-    return lists.repartition("h").sortWithinPartitions("h", "cell").mapInArrow(
+    return lists.repartition("h").sortWithinPartitions("h", "rid").mapInArrow(
         read, "lo long, hi long, need int")
 
 
@@ -356,30 +358,33 @@ def _joined(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 def _cells(entries: DataFrame, percent: int) -> DataFrame:
     """``(rid, cell)`` for sets that may be similar to another; see the module's text."""
-    shared = cut(_shared(entries))
-    stars = (
-        shared.filter("rid != centre")
-        .filter((100 * F.col("n") >= percent * F.col("c_n")) & (100 * F.col("c_n") >= percent * F.col("n")))
-        .groupBy("rid", "centre")
-        .agg(F.count("*").alias("c"), F.least(F.min("n"), F.min("c_n")).alias("n"))
-        .filter(f"c >= {LEAST_SHARED_SQL}")
-        .select(F.greatest("rid", "centre").alias("hi"), F.least("rid", "centre").alias("lo"))
-    )
-    stars = cut(component_roots(stars))
-    named = shared.select("h", "rid", "n").join(
-        stars.select(F.col("v").alias("rid"), "root"), "rid", "left"
-    ).select("h", F.coalesce("root", "rid").alias("cell"), F.col("n").alias("lo"), F.col("n").alias("hi"))
+    lists, levels = entries, []
+    for _ in range(STAR_ROUNDS):
+        shared = cut(_shared(lists))
+        stars = (
+            shared.filter("rid != centre")
+            .filter((100 * F.col("n") >= percent * F.col("c_n")) & (100 * F.col("c_n") >= percent * F.col("n")))
+            .groupBy("rid", "centre")
+            .agg(F.count("*").alias("c"), F.least(F.min("n"), F.min("c_n")).alias("n"))
+            .filter(f"c >= {LEAST_SHARED_SQL}")
+            .select(F.greatest("rid", "centre").alias("hi"), F.least("rid", "centre").alias("lo"))
+        )
+        levels.append(cut(component_roots(stars)))
+        lists = shared.join(levels[-1].withColumnRenamed("v", "rid"), "rid", "left").select(
+            "h", F.coalesce("root", "rid").alias("rid"), "n")
     pairs = (
-        _cell_pairs(named, percent).groupBy("lo", "hi")
+        _cell_pairs(lists, percent).groupBy("lo", "hi")
         .agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need")
         .select(F.greatest("lo", "hi").alias("hi"), F.least("lo", "hi").alias("lo"))
     )
-    joined = cut(component_roots(pairs)).select(F.col("v").alias("cell"), F.col("root").alias("top"))
-    members = stars.select(F.col("v").alias("rid"), F.col("root").alias("cell"))
-    lone = joined.select(F.col("cell").alias("rid"), "cell").join(
-        members.select("rid"), "rid", "left_anti")
-    return members.unionByName(lone).join(joined, "cell", "left").select(
-        "rid", F.coalesce("top", "cell").alias("cell"))
+    levels.append(cut(component_roots(pairs)))
+    found = levels[0].select(F.col("v").alias("rid"), F.col("root").alias("cell"))
+    for level in levels[1:]:
+        new = level.select(F.col("v").alias("cell"), F.col("root").alias("top"))
+        lone = new.select(F.col("cell").alias("rid"), "cell").join(found.select("rid"), "rid", "left_anti")
+        found = cut(found.unionByName(lone).join(new, "cell", "left").select(
+            "rid", F.coalesce("top", "cell").alias("cell")))
+    return found
 
 
 def _tasks(cells: DataFrame, cell_shingles: int) -> DataFrame:
@@ -448,7 +453,8 @@ def similar_groups(
         rows.filter("n > 0").groupBy("rid").agg(
             F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("one")))
     tasks = cut(_tasks(sets.join(cells, "rid").select("rid", "n", "one.doc_id", "one.th", "cell"), cell_shingles))
-    texts = docs.join(
+    # merged by sorting at every size: a broadcast of what grows with the input is no saving
+    texts = docs.hint("merge").join(
         tasks.withColumnsRenamed({"doc_id": "t_id", "th": "t_th"}),
         F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("th") == F.col("t_th")))
     links = cut(_joined(texts, words, percent))
