@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pickline.llm import exact, fill, jaccard, packages
+from pickline.llm import exact, fill, jaccard, packages, phrases
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
+    "op2_decontamination": phrases.op2_decontamination,
     "op5_web_packages": packages.op5_web_packages,
     "op7_pack": fill.op7_pack,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
@@ -13,5 +14,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact.OP1_SQL,
+    "op2_decontamination": phrases.OP2_SQL,
     "op5_web_packages": packages.OP5_SQL,
 }
