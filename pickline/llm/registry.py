@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pickline.llm import exact, fill, jaccard, packages, phrases
+from pickline.llm import exact, fill, grades, jaccard, packages, phrases
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_web_packages": packages.op5_web_packages,
     "op7_pack": fill.op7_pack,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_quality": grades.op10_quality,
 }
 
 ORACLES = {
