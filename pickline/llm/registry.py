@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pickline.llm import exact, fill, grades, jaccard, packages, phrases
+from pickline.llm import exact, fill, grades, jaccard, packages, phrases, private
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_decontamination": phrases.op2_decontamination,
     "op5_web_packages": packages.op5_web_packages,
     "op7_pack": fill.op7_pack,
+    "op8_personal_data": private.op8_personal_data,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_quality": grades.op10_quality,
 }
