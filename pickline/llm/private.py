@@ -60,6 +60,10 @@ _SPELLED = re.compile(
 _SPELLED_PART = re.compile(rf"(?i)plus|{_NAME}|[0-9]+|dot|punkt|point|punto|\.")
 _ANY_NAME = re.compile(rf"(?i)\b{_NAME}[ \t,.-]{{1,4}}(?:(?:dot|punkt|point|punto)[ \t]{{1,2}})?(?:{_NAME}|[0-9]+)\b")
 
+# Digits that are articles too, and what they must look like to be digits.
+_ARTICLES = frozenset(("un", "uno"))
+_ARTICLE_RUN = re.compile(r"\buno?[ \t,.-]{1,4}(?:(?:dot|punkt|point|punto)[ \t]{1,2})?(?:uno?|[0-9]+)\b")
+
 _AT = re.compile(r"(?i)\s{0,3}[(\[{<]\s{0,3}(?:at|@|arroba)\s{0,3}[)\]}>]\s{0,3}|\s{1,3}(?:at|arroba)\s{1,3}|\s{1,3}@\s{0,3}|@\s{1,3}|@")
 _BRACKET_AT = re.compile(r"[(\[{<]\s{0,3}(?:at|arroba)")
 _BRACKET_DOT = r"\s{0,3}[(\[{<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[)\]}>]\s{0,3}"
@@ -68,8 +72,12 @@ _SPELLED_DOT = re.compile(rf"(?i){_BRACKET_DOT}|\s{{1,3}}(?:dot|punkt|point|punt
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 
 
+#: Where such characters can be: the few of Latin-1, and all beyond.
+_BEYOND = re.compile("[\xa0\xad\xb7\u0100-\U0010ffff]")
+
+
 @lru_cache(maxsize=1)
-def _alike() -> tuple[re.Pattern, dict[str, str]]:
+def _alike() -> dict[str, str]:
     """Characters to rewrite: the list above, and all whose compatibility form is one ASCII character."""
     table = dict(_ALIKE)
     for point in range(0x250, 0x20000):
@@ -79,7 +87,7 @@ def _alike() -> tuple[re.Pattern, dict[str, str]]:
             table[c] = plain
         elif c not in table and unicodedata.category(c) == "Nd":
             table[c] = str(unicodedata.digit(c))
-    return re.compile("[" + "".join(map(re.escape, sorted(table))) + "]"), table
+    return table
 
 
 # ---- detection ----------------------------------------------------------------------------------
@@ -173,8 +181,8 @@ class Rewritten:
 
 
 def _letters(text: str) -> list[tuple[int, int, str]]:
-    pattern, plain = _alike()
-    return [(m.start(), m.end(), plain[m[0]]) for m in pattern.finditer(text)]
+    plain = _alike()
+    return [(m.start(), m.end(), plain[m[0]]) for m in _BEYOND.finditer(text) if m[0] in plain]
 
 
 def _marks(text: str) -> list[tuple[int, int, str]]:
@@ -203,7 +211,9 @@ def _marks(text: str) -> list[tuple[int, int, str]]:
 
 
 def _digits(text: str) -> list[tuple[int, int, str]]:
-    if not _ANY_NAME.search(text):
+    low = text.lower()
+    there = _DIGITS.keys() & set(low.replace(",", " ").replace("-", " ").replace(".", " ").split())
+    if not there or there <= _ARTICLES and not _ARTICLE_RUN.search(low) or not _ANY_NAME.search(text):
         return []
     edits = []
     for m in _SPELLED.finditer(text):
