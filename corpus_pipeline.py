@@ -1,14 +1,57 @@
-"""The training-data pipeline over ``documents``; filled stage by stage."""
+"""The training-data pipeline over ``documents``: quality, lines, near copies, benchmark, packing.
+
+Every stage reads all that its predecessor kept. The first four return the columns of documents:
+rejected, similar and contaminated documents go, lines of recurring templates leave their texts
+(and ``n_chars`` follows); the last one packs what is left.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pickline.llm import fill, grades, jaccard, phrases, templates
+from pickline.llm.common import table
+from pickline.session import cut
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier accepts."""
+    return grades.accepted_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines of recurring templates."""
+    return templates.drop_template_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones."""
+    return jaccard.one_of_each_group(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark doesn't contaminate."""
+    return phrases.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences."""
+    import public_tokenizers
+
+    return fill.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near copies", near_copies), ("benchmark", benchmark),
+          ("packing", packing)]
+
+#: SQL can't express the fit of the first stage, the third's components or the last one's tokens.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    """All stages one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -426,9 +426,9 @@ def _tasks(cells: DataFrame, cell_shingles: int) -> DataFrame:
 
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-    percent: int = PERCENT, cell_shingles: int = CELL_SHINGLES,
+    percent: int = PERCENT, cell_shingles: int = CELL_SHINGLES, hashes: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``(doc_id, n_shingles, component_id)``.
+    """One row per row of ``docs``: ``(doc_id, n_shingles, component_id)``, and the text's hash ``th``.
 
     Words are what ASCII white space separates, A-Z lower-cased; a text's set is its distinct
     shingles of ``words`` words, or its whole sequence if it has fewer. Texts link when the sets'
@@ -464,9 +464,31 @@ def similar_groups(
     known = sets.join(links, "rid", "left").select("rid", "least", F.coalesce("root", "rid").alias("root"))
     tops = known.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = cut(known.join(tops, "root").select(F.col("rid").alias("c_rid"), "component_id"))
-    return rows.filter("n > 0").join(classes, F.col("rid") == F.col("c_rid")).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id"
-    ).unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = rows.filter("n > 0").join(classes, F.col("rid") == F.col("c_rid")).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "th"
+    ).unionByName(rows.filter("n = 0").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "th"))
+    return found if hashes else found.drop("th")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``docs`` with the document of the smallest id of each group of similar ones.
+
+    Rows equal in id and text are one document; rows without an id stay unless they are similar to
+    one with an id. All columns come as they came.
+    """
+    groups = cut(similar_groups(docs, id_col, text_col, hashes=True, **settings))
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "th").agg(
+        F.count("*").alias("n"))
+    kept = cut(kept)
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(whole_text(f"`{text_col}`")).alias("_th"))
+    found = packed.hint("merge").join(
+        kept, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        found = found.dropDuplicates(["_id", "_th"])
+    return found.select("_row.*")
 
 
 def cells_split(tasks: DataFrame) -> bool:

@@ -327,6 +327,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    **settings) -> DataFrame:
+    """``docs`` without the contaminated ones, all columns as they came."""
+    key = F.xxhash64(F.col(f"`{id_col}`"), whole_text(f"`{text_col}`"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"))
+    own = docs.select(key.alias("doc_id"), whole_text(f"`{text_col}`").alias("text"))
+    found = cut(contamination(own, items, **settings).filter("contaminated").select("doc_id").distinct())
+    return packed.join(found, F.col("_key") == F.col("doc_id"), "left_anti").select("_row.*")
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     """Every document against all windows of the benchmark."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

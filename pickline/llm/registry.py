@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pickline.llm import exact, fill, grades, jaccard, packages, phrases, private
+from pickline.llm import exact, fill, grades, jaccard, packages, phrases, private, templates
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_decontamination": phrases.op2_decontamination,
     "op5_web_packages": packages.op5_web_packages,
+    "op6_line_templates": templates.op6_line_templates,
     "op7_pack": fill.op7_pack,
     "op8_personal_data": private.op8_personal_data,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
