@@ -32,7 +32,7 @@ END_ID = 0
 #: Bytes of text tokenized at once; a longer text is tokenized alone.
 SLICE_BYTES = 2 << 20
 #: Chunks of text whose ids a worker remembers; beyond, it forgets all of them.
-CACHED = 300_000
+CACHED = 200_000
 
 
 def _byte_names() -> dict[int, int]:

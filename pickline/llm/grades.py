@@ -36,7 +36,7 @@ _TOKENS = re.compile(r"[^\W\d_]+|[^\w\s]+|\d+")
 _PLAIN_MARKS = frozenset((".", ",", ";", ":", "!", "?", "-", "'", '"', "(", ")"))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=100_000)
 def _hashed(kind: str, value: str) -> int:
     return zlib.crc32(f"{kind} {value}".encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pickline.llm import exact, fill, grades, jaccard, packages, phrases, private, templates
+from pickline.llm import (
+    chat, exact, fill, grades, jaccard, packages, phrases, private, repeats, templates,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_decontamination": phrases.op2_decontamination,
+    "op3_chat_format": chat.op3_chat_format,
+    "op4_repeated_lines": repeats.op4_repeated_lines,
     "op5_web_packages": packages.op5_web_packages,
     "op6_line_templates": templates.op6_line_templates,
     "op7_pack": fill.op7_pack,
@@ -18,5 +22,6 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact.OP1_SQL,
     "op2_decontamination": phrases.OP2_SQL,
+    "op4_repeated_lines": repeats.OP4_SQL,
     "op5_web_packages": packages.OP5_SQL,
 }
