@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,11 @@ REPLY_FIELDS = {
     "bws": "best_index string, worst_index string, note string",
     "pair": "winner string, note string",
 }
+#: Kinds of value that fields of text and of lists of text may hold.
+TEXT, TEXTS = ("STRING",), ("ARRAY<STRING>", "ARRAY<VOID>")
+_KINDS = dict.fromkeys(("category", "verdict", "confidence", "caption", "note", "winner"), TEXT) | {
+    "reasons": TEXTS, "keywords": TEXTS,
+}
 _REQUIRED = {
     "triage": ("category", "verdict", "technical_score", "reasons", "confidence"),
     "burst": ("best_index", "reject_indices", "note"),
@@ -26,6 +33,10 @@ _REQUIRED = {
 }
 
 
+#: A string, closed or cut off by the end of the text, or a brace.
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[{}]', re.DOTALL)
+
+
 @F.pandas_udf(StringType())
 def first_object(texts: pd.Series) -> pd.Series:
     """The first balanced ``{..}`` of each text, null when there is none.
@@ -35,29 +46,22 @@ def first_object(texts: pd.Series) -> pd.Series:
     def cut_out(text):
         if text is None:
             return None
-        begin = text.find("{")
-        level, quoted, at = 0, False, begin
-        while 0 <= at < len(text):
-            char = text[at]
-            if quoted:
-                at += char == "\\"
-                quoted = char != '"'
-            elif char == '"':
-                quoted = True
-            elif char in "{}":
-                level += 1 if char == "{" else -1
-                if level == 0:
-                    return text[begin:at + 1]
-            at += 1
+        begin, level = text.find("{"), 0
+        if begin < 0:
+            return None
+        for mark in _MARKS.finditer(text, begin):
+            level += {"{": 1, "}": -1}.get(mark.group(), 0)
+            if level == 0:
+                return text[begin:mark.end()]
         return None
 
     return texts.map(cut_out, na_action="ignore")
 
 
 def whole_number(text: Column) -> Column:
-    """Text of an integral number as int; other text is null."""
-    value = text.try_cast("double")
-    return F.when(value == F.floor(value), value.cast("int"))
+    """Text of a whole number in plain digits as int; other text is null."""
+    plain = F.regexp_extract(text, r"^\s*([+-]?[0-9]+)(?:\.0*)?\s*$", 1)
+    return plain.try_cast("int")
 
 
 def _typed(name: str, parsed: Column) -> Column:
@@ -73,8 +77,21 @@ def _typed(name: str, parsed: Column) -> Column:
     return field
 
 
+def _wrong_kind(name: str) -> Column:
+    """Whether the reply gives ``name`` a value that is not of its kind, null included."""
+    value = F.try_variant_get("_kinds", f"$.{name}", "variant")
+    wrong = ~F.schema_of_variant(value).isin(*_KINDS[name])
+    if _KINDS[name] is TEXTS:
+        wrong = wrong | F.exists(F.col("_parsed")[name], lambda i: i.isNull())
+    return F.coalesce(wrong, F.lit(False))
+
+
 def parse_replies(df: DataFrame, kind: str, text: str = "reply") -> DataFrame:
-    """Add the verdict fields of ``kind`` and ``error`` (null when the reply could be read)."""
+    """Add the verdict fields of ``kind`` and ``error`` (null when the reply could be read).
+
+    Text fields must hold text and lists of text only text; a number may be written as text in
+    plain digits. An optional field may be missing, but not null.
+    """
     fields = REPLY_FIELDS[kind]
     names = [part.split()[0] for part in fields.split(", ")]
     parsed = F.from_json(
@@ -84,6 +101,7 @@ def parse_replies(df: DataFrame, kind: str, text: str = "reply") -> DataFrame:
     read = (
         df.withColumn("_object", first_object(F.col(text)))
         .withColumn("_parsed", parsed)
+        .withColumn("_kinds", F.try_parse_json("_object"))
         .select(
             *[c for c in df.columns if c not in (*names, "error")],
             *[_typed(n, F.col("_parsed")).alias(n) for n in names],
@@ -92,14 +110,21 @@ def parse_replies(df: DataFrame, kind: str, text: str = "reply") -> DataFrame:
             .when(F.col("_object").isNull(), "unbalanced JSON object in reply")
             .when(F.col("_parsed._corrupt").isNotNull(), "reply is not JSON")
             .alias("error"),
+            *[_wrong_kind(n).alias(f"_wrong_{n}") for n in names if n in _KINDS],
         )
     )
     missing = F.lit(None).cast("string")
+    for name in names:
+        if name in _KINDS:
+            missing = F.when(F.col(f"_wrong_{name}"), F.lit(f"wrong type of {name}")).otherwise(
+                missing
+            )
     for name in _REQUIRED[kind]:
         missing = F.when(F.col(name).isNull(), F.lit(f"missing or unusable {name}")).otherwise(
             missing
         )
-    return read.withColumn("error", F.coalesce("error", missing))
+    return read.withColumn("error", F.coalesce("error", missing)).drop(
+        *[f"_wrong_{n}" for n in names])
 
 
 def _problems(kind: str, count: Column, strict: bool) -> list[tuple[Column, str]]:

@@ -92,23 +92,23 @@ def asset_actions(
         .when(bucket == "burst_loser", F.array(_tag(F.lit(tags["burst_loser"]))))
         .when(bucket == "five_star", F.array(_update(**five), _tag(F.lit(tags["five_star"]))))
     )
-    extras = " + favorite" if favorite_five else ""
+    extras = ", made a favorite" if favorite_five else ""
     text = (
         F.when(bucket == "reject",
-               F.format_string("reject %s: archive + tag %s (+ rating -1)", asset,
+               F.format_string("%s rejected: archived, rated -1, tagged %s", asset,
                                F.lit(tags["reject"])))
         .when(bucket == "nonphoto",
-              F.format_string("archive %s (%s) + tag %s", asset,
-                              F.when(category != "", category).otherwise("non-photo"), kind_tag))
+              F.format_string("%s is no photograph but %s: archived, tagged %s", asset,
+                              F.when(category != "", category).otherwise("unknown"), kind_tag))
         .when(bucket == "burst_loser",
-              F.format_string("burst also-ran %s: tag %s", asset, F.lit(tags["burst_loser"])))
+              F.format_string("%s lost in its group: tagged %s", asset, F.lit(tags["burst_loser"])))
         .when(bucket == "five_star",
-              F.format_string(f"crown %s: rating 5{extras} + tag %s", asset,
+              F.format_string(f"%s among the best: rated 5{extras}, tagged %s", asset,
                               F.lit(tags["five_star"])))
     )
     for stars, name in ((4, "four_star"), (3, "three_star"), (2, "two_star"), (1, "one_star")):
         ops = ops.when(bucket == name, F.array(_update(rating=F.lit(stars))))
-        text = text.when(bucket == name, F.format_string(f"rate %s: rating {stars}", asset))
+        text = text.when(bucket == name, F.format_string(f"%s rated {stars}", asset))
     burst = detail_text(F.col("detail"), "$.burst_id")
     rows = decisions.select(
         "asset_id", "bucket", F.col("asset_id").alias("sort_key"),
@@ -130,7 +130,7 @@ def stack_actions(bursts: DataFrame, assets: DataFrame, unapplied_only: bool = T
     return _planned(rows.select(
         F.lit("burst_stack").alias("bucket"), F.lit(None).alias("asset_id"), "burst_id",
         F.col("burst_id").alias("sort_key"),
-        F.format_string("stack %d frames under %s", F.size(members), F.col("winner_id"))
+        F.format_string("%d frames stacked below %s", F.size(members), F.col("winner_id"))
         .alias("description"),
         F.array(_op("stack", asset_ids=members)).alias("ops"),
     ), "burst_stack")

@@ -169,16 +169,20 @@ def star_tail(
     decisions: DataFrame,
     bands: DataFrame,
     skip_buckets: tuple[str, ...] | None = ("middle",),
+    exempt: DataFrame | None = None,
 ) -> DataFrame:
     """Stars for photos outside the ranking: 2 for a score of at least 5, else 1.
 
     Photos with a decision are left out. Every judged photo has at least a ``middle`` decision,
-    so decisions in ``skip_buckets`` do not count; ``None`` makes every decision count.
+    so decisions in ``skip_buckets`` do not count; ``None`` makes every decision count. Photos in
+    ``exempt``, such as those with five stars from elsewhere, are left alone as well.
     """
     decided = decisions
     if skip_buckets:
         decided = decisions.filter(~F.col("bucket").isin(*skip_buckets))
     starred = bands.filter(F.col("stars").isNotNull()).select("asset_id")
+    if exempt is not None:
+        starred = starred.unionByName(exempt.select("asset_id"))
     score = F.coalesce("technical_score", F.lit(0))
     return (
         triage.filter("category = 'photo'").select("asset_id", score.alias("technical_score"))

@@ -13,7 +13,7 @@ from pickline.functions.replies import checked, parse_replies
 from pickline.functions.scalars import triage_bucket, work_key, work_kind
 from pickline.operators.groups import group_members
 from pickline.operators.merges import (
-    merge_decisions, merge_triage, merge_upsert, resolve_bursts, set_batch_status,
+    last_per_key, merge_decisions, merge_triage, merge_upsert, resolve_bursts, set_batch_status,
 )
 from pickline.session import cut
 
@@ -132,17 +132,38 @@ def route_results(results: DataFrame, items: DataFrame, default_kind: str = "tri
     return rows.withColumn("kind", kind).withColumn("key", key)
 
 
+def one_result(results: DataFrame) -> DataFrame:
+    """One result per work id: one without an error goes first, then the greatest.
+
+    A column ``seq``, where there is one, comes before the text: the last result counts.
+    """
+    order = [c for c in ("seq", "reply", "error", "model") if c in results.columns]
+    ranked = results.withColumn("_order", F.struct(F.col("error").isNull(), *order))
+    return last_per_key(ranked, "custom_id", "_order")
+
+
+def finished_batches(items: DataFrame, touched: DataFrame) -> DataFrame:
+    """Of the ``touched`` batches those whose every item has a result or an error."""
+    ids = touched.select("batch_id").distinct()
+    waiting = items.filter("result is null and error is null").select("batch_id")
+    return ids.join(waiting, "batch_id", "left_anti")
+
+
 def ingest_results(
-    results: DataFrame, tables: dict[str, DataFrame], now: Column
+    results: DataFrame, tables: dict[str, DataFrame], now: Column, ended: bool = False
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Record finished results ``(custom_id, reply, error[, model])``.
+    """Record finished results ``(custom_id, reply, error[, model][, seq])``.
 
     Group verdicts and single verdicts go to their tables with the decisions that follow; failed,
-    missing or unusable replies become errors. Returns the next tables and the outcome per item
-    ``(custom_id, kind, key, error)``. Batches with results are stamped as ingested.
+    missing or unusable replies become errors. Of several results of one work id one counts, see
+    :func:`one_result`; of several usable ones for one target that of the greatest work id. Returns
+    the next tables and the outcome per item ``(custom_id, kind, key, error)``. A batch is stamped
+    as ingested once all its items have an outcome, or with its first results when it has
+    ``ended`` and the missing ones will never come.
     """
     if "model" not in results.columns:
         results = results.withColumn("model", F.lit(None).cast("string"))
+    results = one_result(results)
     routed = cut(route_results(results, tables["batch_items"]).withColumnRenamed(
         "error", "failed"
     ))
@@ -150,18 +171,22 @@ def ingest_results(
     singles = checked(parse_replies(usable.filter("kind <> 'burst'"), "triage"), "triage")
     # several tables follow from the parsed replies: parsed once
     singles = cut(singles.withColumnRenamed("key", "asset_id").withColumn("raw", F.col("reply")))
-    good = singles.filter("error is null")
+    good = last_per_key(singles.filter("error is null").withColumn("_seq", F.col("custom_id")),
+                        "asset_id", "_seq")
 
-    live = group_members(tables["assets"])
     shown = usable.filter("kind = 'burst'").withColumn(
         "_members", F.from_json(F.get_json_object("payload", "$.member_ids"), "array<string>")
     )
+    # members are looked up only for groups whose work item doesn't list them
+    asked = shown.filter("_members is null").select(F.col("key").alias("burst_id")).distinct()
+    live = group_members(tables["assets"].join(asked, "burst_id", "left_semi"))
     parsed = parse_replies(shown, "burst").withColumnRenamed("key", "burst_id").join(
         live.withColumnRenamed("member_ids", "_live"), "burst_id", "left"
     ).withColumn("member_ids", F.coalesce("_members", "_live", F.array().cast("array<string>")))
     groups = cut(checked(parsed, "burst", F.size("member_ids"), strict=False).drop(
         "_members", "_live"))
-    won = groups.filter("error is null")
+    won = last_per_key(groups.filter("error is null").withColumn("_seq", F.col("custom_id")),
+                       "burst_id", "_seq")
 
     triage, decisions = apply_singles(tables["triage"], tables["decisions"], good, now)
     bursts, decisions, _ = resolve_bursts(
@@ -180,13 +205,14 @@ def ingest_results(
     recorded = outcomes.select(
         "custom_id", F.when(F.col("error").isNull(), F.col("reply")).alias("result"), "error"
     ).join(tables["batch_items"].select("custom_id"), "custom_id", "left_semi")
+    items = cut(merge_upsert(tables["batch_items"], recorded, "custom_id"))
+    touched = routed.filter("batch_id is not null")
+    closed = touched if ended else finished_batches(items, touched)
     return {
         **tables,
         "triage": triage,
         "bursts": bursts,
         "decisions": decisions,
-        "batch_items": merge_upsert(tables["batch_items"], recorded, "custom_id"),
-        "batches": set_batch_status(
-            tables["batches"], routed.filter("batch_id is not null"), "ingested", now
-        ),
+        "batch_items": items,
+        "batches": set_batch_status(tables["batches"], closed, "ingested", now),
     }, outcomes.drop("reply")

@@ -16,7 +16,19 @@ from pickline.schemas import BATCH_ITEMS, BATCHES, BURSTS, DECISIONS, TRIAGE, al
 def last_per_key(updates: DataFrame, key: str, seq: str) -> DataFrame:
     """The row with the greatest ``seq`` per key, combined map-side."""
     rest = [c for c in updates.columns if c not in (key, seq)]
-    return updates.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select(key, "_r.*")
+    if not rest:
+        return updates.select(key).distinct()
+    # in a struct a null is the least value, where a bare null would hide its row
+    return updates.groupBy(key).agg(
+        F.max_by(F.struct(*rest), F.struct(seq)).alias("_r")).select(key, "_r.*")
+
+
+def one_per_key(updates: DataFrame, key: str) -> DataFrame:
+    """One row per key, of several the greatest by all other columns in their order."""
+    rest = [c for c in updates.columns if c != key]
+    if not rest:
+        return updates.select(key).distinct()
+    return updates.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*")
 
 
 def merge_upsert(
@@ -28,11 +40,11 @@ def merge_upsert(
 ) -> DataFrame:
     """Insert or update by key; only columns present in ``updates`` are written.
 
-    ``seq`` orders several updates of one key, the last one wins; without it keys must be unique.
+    ``seq`` orders several updates of one key, the last one wins; without it the greatest row does,
+    so the key stays unique either way.
     ``overrides`` computes a column of updated or inserted rows from ``old`` and ``new`` structs.
     """
-    if seq is not None:
-        updates = last_per_key(updates, key, seq)
+    updates = one_per_key(updates, key) if seq is None else last_per_key(updates, key, seq)
     written = [c for c in target.columns if c in updates.columns and c != key]
     old = target.select(key, F.struct(*[c for c in target.columns if c != key]).alias("old"))
     new = updates.select(key, F.struct(*[F.col(c) for c in written] or [F.lit(1).alias("_")])

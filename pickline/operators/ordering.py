@@ -18,8 +18,6 @@ from pickline.session import cut
 
 PART, ROW = "_part", "_row"
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row within partition below
-#: A ``limit`` this small is merged in one task; a larger top-n goes by position.
-TOP_K_ROWS = 100_000
 #: Rows per block of a sequential scan.
 BLOCK_ROWS = 65_536
 
@@ -57,12 +55,9 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
 
 
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first ``n`` rows; a large ``n`` is cut by position instead of merged in one task."""
-    if n <= TOP_K_ROWS:
-        return df.orderBy(*order).limit(max(0, n))
-    return with_position(df, *order, name="_position").filter(F.col("_position") < n).drop(
-        "_position"
-    )
+    """The first ``n`` rows in order, cut by position, so no task merges them all."""
+    placed = with_position(df, *order, name="_position")
+    return placed.filter(F.col("_position") < n).orderBy("_position").drop("_position")
 
 
 def segments(

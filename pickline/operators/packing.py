@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 # Caps of one submission.
 MAX_COUNT = 5_000
 MAX_BYTES = 180 * 1024 * 1024
+#: Full batches that one task fills; at most one more per task stays part full.
+BATCHES_PER_TASK = 8
 
 
 def pack_batches(
@@ -24,10 +27,15 @@ def pack_batches(
 ) -> DataFrame:
     """Add ``batch_id``: partitions are filled in parallel, items in key order.
 
-    No batch exceeds a cap unless a single item does. Items are spread by key, so a partition
-    holds the same items in the same order when it is computed again, and ids stay the same.
+    No batch exceeds a cap unless a single item does. The number of partitions follows from the
+    counted items and bytes, unless given. Items are spread by key, so a partition holds the same
+    items in the same order when it is computed again, and ids stay the same.
     """
-    n = partitions or max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions
+    if n is None:
+        total = items.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
+        full = max(total.n / max_count, (total.b or 0) / max_bytes)
+        n = max(1, math.ceil(full / BATCHES_PER_TASK))
     spread = items.repartition(n, F.col(key)).sortWithinPartitions(key).withColumn(
         "_part", F.spark_partition_id()
     )

@@ -145,15 +145,18 @@ def star_stage(
             order, options.five_star_fraction, options.four_star_fraction,
             options.full_star_spectrum, n_scored, five,
         )
+    fives = None
     if not options.allow_demotions:
         prior = bands.prior_fives(tables["scores"], tables["decisions"])
-        rows = bands.protect_fives(rows, prior, bands.external_fives(tables["assets"], prior))
+        external = bands.external_fives(tables["assets"], prior)
+        rows = bands.protect_fives(rows, prior, external)
+        fives = prior.unionByName(external)
     rows = cut(rows)
     scores, decisions = bands.retract_stars(tables["scores"], tables["decisions"], rows)
     starred = rows.filter("stars is not null").select("asset_id", "stars")
     made = bands.band_decisions(rows, now)
     if options.full_star_spectrum:
-        tail = cut(bands.star_tail(tables["triage"], decisions, rows))
+        tail = cut(bands.star_tail(tables["triage"], decisions, rows, exempt=fives))
         starred = starred.unionByName(tail.select("asset_id", "stars"))
         made = made.unionByName(bands.tail_decisions(tail, now))
     return _settled({

@@ -27,7 +27,7 @@ VIEWS = {
         case when embedding[i + i // 7 + 1] > embedding[i + i // 7 + 2]
         then cast(1 as bigint) << (48 - i) else 0 end)) as bigint) as dhash from embeddings""",
     "a0": f"""select {_id('e', 'event_id')} as id, ts as taken_at,
-        'user|' || cast(user_id as varchar) as camera, event_id % 500 as vec_id,
+        'user|' || cast(user_id as varchar) as camera, event_id % (select greatest(1, count(*)) from embeddings) as vec_id,
         cast(floor(value) as int) % 6 as source_rating,
         case when event_id % 3 = 0 then 'mine' end as description, value, event_type, props
         from events""",
@@ -64,7 +64,7 @@ VIEWS = {
         case when quality = 0 then 'reject' when l.doc_id % 5 = 0 then 'candidate'
         else 'neutral' end as verdict, cast(n_chars % 11 as int) as technical_score,
         case l.doc_id % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as confidence,
-        case when l.doc_id % 4 <> 0 then substring(text, 1, 40) end as caption,
+        case when l.doc_id % 4 <> 0 then text end as caption,
         ['len ' || cast(n_chars % 7 as varchar), 'doc ' || cast(l.doc_id % 9 as varchar)] as reasons,
         case when l.doc_id % 6 = 0 then ['beach', 'k' || cast(l.doc_id % 4 as varchar)] end
         as keywords, case when l.doc_id % 8 = 1 then """ + LATER + """ end as enriched_at
@@ -83,9 +83,10 @@ VIEWS = {
         'b' || cast(doc_id % 4 as varchar) as batch_id, category, verdict, technical_score,
         confidence, coalesce(caption, '') as caption, coalesce(keywords, []) as keywords, reasons
         from ve""",
-    "ln": """select l_orderkey, l_partkey, max(l_extendedprice) as quality from lineitem
-        group by all""",
-    "mb": f"""select cast(l_orderkey as varchar) || '-' || cast(l_partkey % deals as varchar)
+    "ln": """select *, row_number() over (partition by l_orderkey order by l_partkey) - 1 as pos
+        from (select l_orderkey, l_partkey, max(l_extendedprice) as quality from lineitem
+        group by all)""",
+    "mb": f"""select cast(l_orderkey as varchar) || '-' || cast(pos % deals as varchar)
         as set_id, {_id('p', 'l_partkey')} as member, quality from ln
         join (select l_orderkey, cast(ceil(count(*) / 8) as bigint) as deals from ln
         group by l_orderkey) using (l_orderkey)""",
@@ -202,7 +203,7 @@ VIEWS = {
     # merged groups: ordinals, components, slices
     "dg": """select doc_id as member, min(doc_id) over (partition by text) as group_id,
         count(*) over (partition by text) as n from documents""",
-    "g1": "select doc_id // 10 as g, doc_id as member from documents where doc_id % 10 < 2",
+    "g1": "select doc_id // 2 as g, doc_id as member from documents",
     "g2": "select group_id as g, member from dg where n >= 2",
     "od": """select member, row_number() over (order by s1 nulls last, g nulls last, s2, member) - 1
         as v from (select member, min(g1.member) as s1, min(g2.g) as g, min(g2.member) as s2
@@ -526,13 +527,13 @@ ORACLES: dict[str, str] = {
         when 'nonphoto' then 'nonphoto' when 'burst_loser' then 'stacks' else 'stars' end as "group",
         ao.bucket, case when bucket = 'burst_loser' then burst end as burst_id, op_no, op, asset_id,
         rating, visibility, is_favorite, 't/' || tag as tag,
-        case bucket when 'reject' then 'reject ' || asset_id ||
-        ': archive + tag t/reject (+ rating -1)'
-        when 'nonphoto' then 'archive ' || asset_id || ' (' || coalesce(nullif(category, ''),
-        'non-photo') || ') + tag t/' || coalesce(category, 'nonphoto')
-        when 'burst_loser' then 'burst also-ran ' || asset_id || ': tag t/burst-loser'
-        when 'five_star' then 'crown ' || asset_id || ': rating 5 + favorite + tag t/best'
-        else 'rate ' || asset_id || ': rating 4' end as line
+        asset_id || case bucket when 'reject' then
+        ' rejected: archived, rated -1, tagged t/reject'
+        when 'nonphoto' then ' is no photograph but ' || coalesce(nullif(category, ''),
+        'unknown') || ': archived, tagged t/' || coalesce(category, 'nonphoto')
+        when 'burst_loser' then ' lost in its group: tagged t/burst-loser'
+        when 'five_star' then ' among the best: rated 5, made a favorite, tagged t/best'
+        else ' rated 4' end as line
         from aoall ao join dall using (asset_id, bucket)""",
     "stack_actions": """select burst_id, 'stacks' as "group", array_to_string(ids, ',') as asset_ids
         from st""",

@@ -395,7 +395,7 @@ def split_groups(spark, d):
 
 @query
 def merge_groups(spark, d):
-    rows = groups.merge_groups(V.decade_groups(spark, d), V.dup_groups(spark, d).withColumn(
+    rows = groups.merge_groups(V.neighbour_groups(spark, d), V.dup_groups(spark, d).withColumn(
         "ord", F.col("member")), V.MAX_GROUP)
     return rows.select("component", "slice", "pos", "member")
 
@@ -414,7 +414,7 @@ def group_members(spark, d):
 def _packed(spark, d) -> DataFrame:
     items = V.table(spark, d, "documents").select(
         V.key("d", "doc_id").alias("custom_id"), F.col("n_chars").alias("bytes"))
-    return packing.pack_batches(items, 20, 40_000, partitions=8)
+    return packing.pack_batches(items, 20, 40_000)
 
 
 @query
@@ -568,7 +568,7 @@ def bradley_terry_sweeps(spark, d):
 @query
 def bradley_terry(spark, d):
     pairs = compare.expand_members(*V.order_sets(spark, d))
-    return strength.bradley_terry(pairs, tol=1e-6)
+    return strength.bradley_terry(pairs)
 
 
 @query
@@ -981,7 +981,7 @@ def watch(spark, d):
     save_tables(tables, f"{path}/start")
     run = watching.watch(stream, path, once=True, start=f"{path}/start")
     run.awaitTermination()
-    now = watching.latest(spark, path, run)
+    now = watching.latest(spark, path)
     return worklists.unjudged(now["assets"], now["triage"]).select("id")
 
 
@@ -998,7 +998,7 @@ def stream_results(spark, d):
         "maxFilesPerTrigger", 1).parquet(f"{path}/in")
     run = watching.stream_results(stream, path, f"{path}/start", once=True)
     run.awaitTermination()
-    now = watching.latest(spark, path, run)
+    now = watching.latest(spark, path)
     return now["decisions"].select("asset_id", "bucket")
 
 
@@ -1037,7 +1037,6 @@ def pair_judge(row: dict) -> dict:
 def run_cycle(spark, d):
     world = {**empty_tables(spark), "assets": align(V.assets(spark, d, True), ASSETS)}
     judges = {"burst": burst_judge, "triage": event_judge, "bws": set_judge, "pair": pair_judge}
-    options = Options(burst_gap_seconds=V.GAP_SECONDS, burst_max_group=V.MAX_GROUP,
-                      finals_rounds=1, fit_iterations=8)
+    options = Options(burst_gap_seconds=V.GAP_SECONDS, burst_max_group=V.MAX_GROUP)
     tables, _ = cycle.run_cycle(world, judges, options)
     return report.report_summary(tables)

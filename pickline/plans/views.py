@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pickline.functions.scalars import dhash_bits, triage_bucket
 from pickline.operators.groups import assign_groups, burst_groups, group_members, keyed_groups
+from pickline.operators.ordering import segments
 from pickline.operators.skew import attach
 from pickline.schemas import (
     ASSETS, BATCH_ITEMS, BATCHES, BURSTS, BWS_SETS, DECISIONS, PAIRS, SCORES, TRIAGE, align,
@@ -50,12 +51,13 @@ def hashes(spark, d) -> DataFrame:
 
 
 def assets(spark, d, hashed: bool = False) -> DataFrame:
-    """Events as assets: the user is the camera."""
+    """Events as assets: the user is the camera, and every embedding is dealt to some events."""
+    vectors = max(1, table(spark, d, "embeddings").count())
     rows = table(spark, d, "events").select(
         key("e", "event_id").alias("id"),
         F.col("ts").cast("timestamp").alias("taken_at"),
         F.concat(F.lit("user|"), F.col("user_id").cast("string")).alias("camera"),
-        (F.col("event_id") % 500).alias("vec_id"),
+        (F.col("event_id") % vectors).alias("vec_id"),
         (F.floor("value").cast("int") % 6).alias("source_rating"),
         F.when(F.col("event_id") % 3 == 0, "mine").alias("description"),
         "value", "event_type", "props",
@@ -93,11 +95,11 @@ def dup_groups(spark, d) -> DataFrame:
     )
 
 
-def decade_groups(spark, d) -> DataFrame:
-    """Documents ``10k`` and ``10k + 1`` as groups ``(group_id, seq, member)``."""
-    docs = table(spark, d, "documents").select("doc_id").filter("doc_id % 10 < 2")
+def neighbour_groups(spark, d) -> DataFrame:
+    """Documents ``2k`` and ``2k + 1`` as groups ``(group_id, seq, member)``."""
+    docs = table(spark, d, "documents").select("doc_id")
     return docs.select(
-        F.floor(F.col("doc_id") / 10).alias("group_id"), F.col("doc_id").alias("seq"),
+        F.floor(F.col("doc_id") / 2).alias("group_id"), F.col("doc_id").alias("seq"),
         F.col("doc_id").alias("member"),
     )
 
@@ -117,7 +119,7 @@ def verdicts(spark, d, prefix: str = "e") -> DataFrame:
         (F.col("n_chars") % 11).cast("int").alias("technical_score"),
         F.when(doc % 3 == 0, "high").when(doc % 3 == 1, "medium").otherwise("low")
         .alias("confidence"),
-        F.when(doc % 4 != 0, F.substring("text", 1, 40)).alias("caption"),
+        F.when(doc % 4 != 0, F.col("text")).alias("caption"),
         F.array(F.concat(F.lit("len "), (F.col("n_chars") % 7).cast("string")),
                 F.concat(F.lit("doc "), (doc % 9).cast("string"))).alias("reasons"),
         F.when(doc % 6 == 0, F.array(F.lit("beach"), F.concat(F.lit("k"), (doc % 4).cast("string"))))
@@ -190,20 +192,24 @@ def bursts(grouped: DataFrame, all_groups: bool = False) -> DataFrame:
 def order_sets(spark, d) -> tuple[DataFrame, DataFrame]:
     """Orders as best-worst sets of parts: ``members`` and ``picks``.
 
-    An order with more than eight parts is dealt out over several sets by part number, so no set
+    The parts of an order with more than eight are dealt out in order over several sets, so no set
     grows with its order. The dearest line is best and the cheapest worst.
     """
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
+    parts = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
         F.max("l_extendedprice").alias("quality")
     )
+    lines = cut(segments(
+        parts, [F.col("l_orderkey"), F.col("l_partkey")],
+        lambda before, this: before["l_orderkey"] == this["l_orderkey"], F.lit(0),
+    ).drop("segment", "last", "head"))
     sizes = lines.groupBy("l_orderkey").agg(
         F.count("*").alias("n"), F.ceil(F.count("*") / SET_SIZE).alias("deals")
     )
-    members = attach(lines, sizes, "l_orderkey", "n").select(
+    members = cut(attach(lines, sizes, "l_orderkey", "n").select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                    (F.col("l_partkey") % F.col("deals")).cast("string")).alias("set_id"),
+                    (F.col("pos") % F.col("deals")).cast("string")).alias("set_id"),
         key("p", "l_partkey").alias("member"), "quality",
-    )
+    ))
     rank = F.struct("quality", "member")
     picks = members.groupBy("set_id").agg(
         F.max_by("member", rank).alias("best_id"), F.min_by("member", rank).alias("worst_id"),

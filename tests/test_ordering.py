@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pickline.operators import ordering
@@ -51,9 +52,13 @@ def test_one_segment_over_everything(spark):
     assert [r.id for r in got.filter("last").collect()] == [999]
 
 
-def test_top_n_by_position(spark, monkeypatch):
+@pytest.mark.parametrize("n", [0, 20, 499, 700])
+def test_top_n_comes_in_order(spark, n):
     df = spark.range(500).repartition(5)
-    small = {r.id for r in ordering.top_n(df, 20, F.col("id").desc()).collect()}
-    monkeypatch.setattr(ordering, "TOP_K_ROWS", 10)
-    large = {r.id for r in ordering.top_n(df, 20, F.col("id").desc()).collect()}
-    assert small == large == set(range(480, 500))
+    got = [r.id for r in ordering.top_n(df, n, F.col("id").desc()).collect()]
+    assert got == list(range(499, max(-1, 499 - n), -1))
+
+
+def test_a_long_top_n_comes_in_order(spark):
+    got = [r.id for r in ordering.top_n(spark.range(150_000), 120_000, F.col("id").desc()).collect()]
+    assert got == list(range(149_999, 29_999, -1))

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,27 @@ def test_validation(spark):
     assert [r.best_index for r in valid.collect()] == [1] and rejected.count() == 4
     loose, _ = R.validate_verdicts(df, "burst", F.lit(3), strict=False)
     assert loose.count() == 3
+
+
+@pytest.mark.parametrize(("change", "error"), [
+    ({}, None),
+    ({"reasons": [1]}, "wrong type of reasons"),
+    ({"reasons": []}, None),
+    ({"reasons": [None]}, "wrong type of reasons"),
+    ({"caption": None}, "wrong type of caption"),
+    ({"caption": 7}, "wrong type of caption"),
+    ({"caption": "a \\ \" } {"}, None),
+    ({"keywords": None}, "wrong type of keywords"),
+    ({"technical_score": "8"}, None),
+    ({"technical_score": 8.0}, None),
+    ({"technical_score": "8d"}, "missing or unusable technical_score"),
+    ({"technical_score": "1e1"}, "missing or unusable technical_score"),
+    ({"technical_score": 10 ** 30}, "missing or unusable technical_score"),
+])
+def test_replies_of_wrong_types(spark, change, error):
+    good = {"category": "photo", "verdict": "neutral", "technical_score": 8, "reasons": ["r"],
+            "confidence": "low"}
+    df = spark.createDataFrame([("so: " + json.dumps(good | change) + " }",)], "reply string")
+    row = R.parse_replies(df, "triage").first()
+    assert row.error == error
+    assert error or row.technical_score == 8

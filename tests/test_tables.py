@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 from datetime import UTC, datetime
@@ -5,7 +6,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from pickline.operators import actions, bands, merges, packing, report, worklists
+from pickline.operators import actions, bands, judging, merges, packing, report, worklists
 from pickline.schemas import ASSETS, BURSTS, DECISIONS, SCORES, TABLES, TRIAGE, align, empty_tables
 from pickline.sources import assets as sources
 from pickline.sources.images import hash_images
@@ -191,7 +192,12 @@ def test_tables_round_trip(spark, tmp_path):
     back = load_tables(spark, f"{tmp_path}/v1")
     assert [r.bt_score for r in back["scores"].collect()] == [1.5]
     t["scores"].select("asset_id").write.parquet(f"{tmp_path}/v0/scores")
-    old = load_tables(spark, f"{tmp_path}/v0")
+    with pytest.raises(FileNotFoundError):  # tables, but no listing: not written to the end
+        load_tables(spark, f"{tmp_path}/v0")
+    with pytest.raises(FileNotFoundError):
+        load_tables(spark, f"{tmp_path}/none")
+    save_tables({"scores": t["scores"]}, f"{tmp_path}/v2", kept={"scores": f"{tmp_path}/v0/scores"})
+    old = load_tables(spark, f"{tmp_path}/v2")
     assert {n: df.schema.names for n, df in old.items()} == {n: s.names for n, s in TABLES.items()}
     assert old["scores"].first().stars is None
     t["decisions"] = rows(spark, DECISIONS, {"asset_id": "a", "bucket": "reject"})
@@ -229,3 +235,66 @@ def test_image_hashes(spark, tmp_path):
     (tmp_path / "junk.png").write_bytes(b"junk")
     got = {r.path.rsplit("/", 1)[1]: r.dhash for r in hash_images(spark, str(tmp_path)).collect()}
     assert got == {"down.png": -1, "up.png": 0, "junk.png": None}
+
+
+def test_small_items_fill_one_batch(spark):
+    items = spark.range(1000).select(F.concat(F.lit("w"), "id").alias("custom_id"),
+                                     F.lit(2400).alias("bytes"))
+    assert packing.pack_batches(items).select("batch_id").distinct().count() == 1
+    assert packing.pack_batches(items.limit(0)).isEmpty()
+
+
+def queued(spark, *ids):
+    items = spark.createDataFrame([(i, "q", "{}") for i in ids],
+                                  "custom_id string, batch_id string, payload string")
+    t = empty_tables(spark)
+    i, b = merges.register_batch(t["batch_items"], t["batches"], items, "triage",
+                                 F.lit(datetime(2024, 6, 1, tzinfo=UTC)))
+    return {**t, "batch_items": i, "batches": b}
+
+
+def reply(score):
+    return json.dumps({"category": "photo", "verdict": "neutral", "technical_score": score,
+                       "reasons": ["r"], "confidence": "low"})
+
+
+def ingest(spark, tables, *results, **options):
+    got = spark.createDataFrame(results, "custom_id string, reply string, error string")
+    return judging.ingest_results(got, tables, F.lit(datetime(2024, 6, 2, tzinfo=UTC)), **options)[0]
+
+
+def test_a_batch_closes_with_its_last_outcome(spark):
+    t = queued(spark, "triage_a", "triage_b")
+    part = ingest(spark, t, ("triage_a", reply(3), None))
+    assert [r.custom_id for r in worklists.inflight(part["batch_items"], part["batches"]).collect()
+            if r.custom_id == "triage_b"] == ["triage_b"]
+    assert part["batches"].first().status == "submitted"
+    whole = ingest(spark, part, ("triage_b", None, "failed"))
+    assert whole["batches"].first().status == "ingested"
+    ended = ingest(spark, t, ("triage_a", reply(3), None), ended=True)
+    assert ended["batches"].first().status == "ingested"
+
+
+def test_repeated_results_keep_one_row_per_key(spark):
+    t = queued(spark, "triage_a", "triage_b")
+    after = ingest(spark, t, ("triage_a", reply(3), None), ("triage_a", reply(4), None),
+                   ("triage_a", None, "late"), ("triage_b", None, "x"), ("triage_b", None, None))
+    assert [(r.asset_id, r.technical_score) for r in after["triage"].collect()] == [("a", 4)]
+    assert after["decisions"].count() == 1
+    assert sorted(r.custom_id for r in after["batch_items"].collect()) == ["triage_a", "triage_b"]
+
+
+def test_upserts_keep_keys_unique_without_an_order(spark):
+    target = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    updates = spark.createDataFrame([("a", 5), ("a", 7), ("c", None), ("c", 3)], "k string, v int")
+    got = sorted(map(tuple, merges.merge_upsert(target, updates, "k").collect()))
+    assert got == [("a", 7), ("b", 2), ("c", 3)]
+
+
+def test_the_tail_leaves_exempt_photos_alone(spark):
+    triage = rows(spark, TRIAGE, *[{"asset_id": a, "category": "photo", "technical_score": 6}
+                                   for a in "ab"])
+    none = spark.createDataFrame([], "asset_id string, bucket string, stars int")
+    five = spark.createDataFrame([("a",)], "asset_id string")
+    tail = bands.star_tail(triage, none, none, exempt=five)
+    assert [(r.asset_id, r.stars) for r in tail.collect()] == [("b", 2)]
