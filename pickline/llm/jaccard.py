@@ -222,50 +222,51 @@ def _entries(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
 def _shared(entries: DataFrame) -> DataFrame:
     """Entries whose shingle another set has too, with the least set of that shingle as centre.
 
-    Reads each task's entries in the order of shingle and set and holds one row of state, so that
-    a shingle of any number of sets passes through.
+    ``rid`` is a set or a cell; rows of one shingle and ``rid`` become one, from the least ``n`` to the
+    most ``m`` of them. Reads each task's entries in the order of shingle and set and holds one row of
+    state, so that a shingle of any number of sets passes through.
     """
 
     def read(batches):
         import pyarrow as pa
 
+        names = ["h", "rid", "n", "m", "centre", "c_n", "c_m"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
         held = None  # the last row: it is decided by the one after it
-        centre = (0, 0)
+        centre = (0, 0, 0)
         for batch in batches:
-            h, rid, n = (batch[c].to_numpy(zero_copy_only=False) for c in ("h", "rid", "n"))
+            h, rid, n, m = (batch[c].to_numpy(zero_copy_only=False) for c in names[:4])
             if held is not None:
-                h, rid, n = (np.concatenate([[x], y]) for x, y in zip(held[:3], (h, rid, n), strict=True))
+                h, rid, n, m = (np.concatenate([[x], y]) for x, y in zip(held[:4], (h, rid, n, m), strict=True))
             if not len(h):
                 continue
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (rid[1:] != rid[:-1])
-            h, rid, n = h[new], rid[new], n[new]
-            open_before = held is not None and held[3]
+            at = np.flatnonzero(new)
+            h, rid, n, m = h[at], rid[at], np.minimum.reduceat(n, at), np.maximum.reduceat(m, at)
+            open_before = held is not None and held[4]
             begins = np.ones(len(h), bool)
             begins[1:] = h[1:] != h[:-1]
             first = np.maximum.accumulate(np.where(begins, np.arange(len(h)), 0))
-            c_rid, c_n = rid[first], n[first]
+            own = rid[first], n[first], m[first]
             if open_before:  # the held row continues a list whose first row has passed
-                run = first == 0
-                c_rid, c_n = np.where(run, centre[0], c_rid), np.where(run, centre[1], c_n)
+                own = tuple(np.where(first == 0, x, y) for x, y in zip(centre, own, strict=True))
             follows = ~begins
             if open_before:
                 follows[0] = True
             followed = np.append(h[1:] == h[:-1], False)
             out = (follows | followed)[:-1]
-            held = (h[-1], rid[-1], n[-1], bool(follows[-1]))
-            centre = (c_rid[-1], c_n[-1])
+            held = (h[-1], rid[-1], n[-1], m[-1], bool(follows[-1]))
+            centre = tuple(x[-1] for x in own)
             if out.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[:-1][out]) for x in (h, rid, n, c_rid, c_n)], ["h", "rid", "n", "centre", "c_n"])
-        if held is not None and held[3]:
+                    [pa.array(x[:-1][out], k) for x, k in zip((h, rid, n, m, *own), kinds, strict=True)], names)
+        if held is not None and held[4]:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int32()),
-                 pa.array([centre[0]], pa.int64()), pa.array([centre[1]], pa.int32())],
-                ["h", "rid", "n", "centre", "c_n"])
+                [pa.array([x], k) for x, k in zip((*held[:4], *centre), kinds, strict=True)], names)
 
-    return entries.repartition("h").sortWithinPartitions("h", "rid", "n").mapInArrow(
-        read, "h long, rid long, n int, centre long, c_n int")
+    return entries.repartition("h").sortWithinPartitions("h", "rid").mapInArrow(
+        read, "h long, rid long, n int, m int, centre long, c_n int, c_m int")
 
 
 def _cell_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +291,7 @@ def _cell_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for h, cell, n in zip(*(batch[c].to_pylist() for c in ("h", "rid", "n")), strict=True):
+            for h, cell, n, m in zip(*(batch[c].to_pylist() for c in ("h", "rid", "n", "m")), strict=True):
                 if h != open_h:
                     out += close() if chained is None else []
                     open_h, cells, chained = h, [], None
@@ -298,9 +299,9 @@ def _cell_pairs(lists: DataFrame, percent: int) -> DataFrame:
                     out.append((chained, cell, 0))
                 elif cells and cells[-1][0] == cell:
                     own = cells[-1]
-                    own[1], own[2], own[3] = min(own[1], n), max(own[2], n), min(own[3], int(least_shared(n)))
+                    own[1], own[2], own[3] = min(own[1], n), max(own[2], m), min(own[3], int(least_shared(n)))
                 else:
-                    cells.append([cell, n, n, int(least_shared(n))])
+                    cells.append([cell, n, m, int(least_shared(n))])
                     if len(cells) > SMALL_LIST:
                         chained = cells[0][0]
                         out += [(chained, x[0], 0) for x in cells[1:]]
@@ -358,12 +359,12 @@ def _joined(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
 def _cells(entries: DataFrame, percent: int) -> DataFrame:
     """``(rid, cell)`` for sets that may be similar to another; see the module's text."""
-    lists, levels = entries, []
+    lists, levels = entries.withColumn("m", F.col("n")), []
     for _ in range(STAR_ROUNDS):
         shared = cut(_shared(lists))
         stars = (
             shared.filter("rid != centre")
-            .filter((100 * F.col("n") >= percent * F.col("c_n")) & (100 * F.col("c_n") >= percent * F.col("n")))
+            .filter((100 * F.col("m") >= percent * F.col("c_n")) & (100 * F.col("c_m") >= percent * F.col("n")))
             .groupBy("rid", "centre")
             .agg(F.count("*").alias("c"), F.least(F.min("n"), F.min("c_n")).alias("n"))
             .filter(f"c >= {LEAST_SHARED_SQL}")
@@ -371,7 +372,7 @@ def _cells(entries: DataFrame, percent: int) -> DataFrame:
         )
         levels.append(cut(component_roots(stars)))
         lists = shared.join(levels[-1].withColumnRenamed("v", "rid"), "rid", "left").select(
-            "h", F.coalesce("root", "rid").alias("rid"), "n")
+            "h", F.coalesce("root", "rid").alias("rid"), "n", "m")
     pairs = (
         _cell_pairs(lists, percent).groupBy("lo", "hi")
         .agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need")
@@ -387,7 +388,7 @@ def _cells(entries: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def _tasks(cells: DataFrame, cell_shingles: int) -> DataFrame:
+def _tasks(cells: DataFrame, cell_shingles: int, percent: int = PERCENT) -> DataFrame:
     """``(rid, ..., key, side)``: every set in its cell's task, or in those of its block's pairs.
 
     ``cells`` has ``(rid, n, cell)``. A cell's weight by size tells the blocks, so that no task has
@@ -413,7 +414,7 @@ def _tasks(cells: DataFrame, cell_shingles: int) -> DataFrame:
         .agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
     x, y = blocks.alias("x"), blocks.alias("y")
     pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.block") <= F.col("y.block"))
-                   & (100 * F.col("x.hi") >= PERCENT * F.col("y.lo")) & (100 * F.col("y.hi") >= PERCENT * F.col("x.lo")))
+                   & (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo")))
     pairs = pairs.select(F.col("x.cell").alias("cell"), F.col("x.block").alias("one"), F.col("y.block").alias("two"),
                          F.xxhash64("x.cell", "x.block", "y.block").alias("key"))
     sides = cut(
@@ -452,7 +453,7 @@ def similar_groups(
     sets = cut(
         rows.filter("n > 0").groupBy("rid").agg(
             F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("one")))
-    tasks = cut(_tasks(sets.join(cells, "rid").select("rid", "n", "one.doc_id", "one.th", "cell"), cell_shingles))
+    tasks = cut(_tasks(sets.join(cells, "rid").select("rid", "n", "one.doc_id", "one.th", "cell"), cell_shingles, percent))
     # merged by sorting at every size: a broadcast of what grows with the input is no saving
     texts = docs.hint("merge").join(
         tasks.withColumnsRenamed({"doc_id": "t_id", "th": "t_th"}),

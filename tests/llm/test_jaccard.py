@@ -100,6 +100,30 @@ def test_heavy_cells_and_long_lists(spark, monkeypatch):
     assert found(spark, rows, cell_shingles=2500) == brute(rows)
 
 
+def chains(seed, sizes, n):
+    """Texts of ``n`` word sequences cut at several lengths, each set within the next larger one."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        w = [f"c{seed}_{k}_{rng.randrange(10**6)}" for _ in range(max(sizes) + 4)]
+        rows += [" ".join(w[: s + 4]) for s in sizes]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("sizes", [(97, 100, 130), (98, 100, 130), (75, 97, 100, 129, 133), (60, 79, 81, 107, 142)])
+def test_chains_of_sets_within_sets(spark, sizes):
+    rows = chains(len(sizes) + sizes[0], sizes, 60)  # other words are other hashes, so any set is a centre
+    assert found(spark, rows) == brute(rows)
+
+
+def test_blocks_of_a_lower_threshold(spark):
+    rows = chains(3, (60, 100, 101, 160), 25)
+    want = [(d, n, c) for d, n, c in found(spark, rows, percent=60)]
+    assert found(spark, rows, percent=60, cell_shingles=100) == want
+    assert len({c for _, _, c in want}) == 25
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
