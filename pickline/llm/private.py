@@ -4,7 +4,7 @@ Base spans are what the plain patterns match. Then three transducers rewrite dis
 the other: look-alike and compatibility characters to ASCII, at/dot disguises to their marks, and
 spelled digits to digits. Each keeps which source characters a rewritten stretch came from, so a
 match in the normalised text is mapped back to source characters. Matches that touch a rewritten
-stretch are added to the base spans, which always stay.
+stretch are added to the base spans, which always stay, unless one of their kind contains them.
 """
 
 from __future__ import annotations
@@ -242,7 +242,7 @@ def find_all(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int
         for layer in reversed(layers):
             touched |= layer.touches(start, end)
             start, end = layer.source(start, end)
-        if touched and not any(k == kind and s < end and start < e for k, s, e in base):
+        if touched and not any(k == kind and s <= start and end <= e for k, s, e in base):
             added.add((kind, start, end))
     return base, sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -283,7 +283,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``<KIND>``; other columns as they came."""
+    """``docs`` with every span of its texts replaced by ``<KIND>``; other columns as they came.
+
+    Overlapping spans are replaced as one, by the kind of the first.
+    """
 
     @F.pandas_udf("string")
     def redact(texts):

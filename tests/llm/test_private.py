@@ -63,6 +63,18 @@ def test_clean_texts_stay_clean(text):
     assert private.find_all(text)[1] == []
 
 
+@pytest.mark.parametrize("text,kind,part", [
+    ("jоhn@x.com", "email", "hn@x.com"), ("john@mail.exаmple.com", "email", "john@mail.ex"),
+    ("john@mail.example (dot) com", "email", None), ("192.168.1.1２", "ip", "192.168.1.1"),
+    ("+49 30 1234567８９", "phone", "+49 30 1234567")])
+def test_disguises_that_the_base_pattern_finds_a_part_of(spark, text, kind, part):
+    base, every = private.find_all(f"see {text}, ok")
+    assert (kind, 4, 4 + len(text)) in every and all(x in every for x in base)
+    assert part is None or [f"see {text}, ok"[s:e] for _, s, e in base if _ == kind] in ([part], [])
+    docs = spark.createDataFrame([(1, f"see {text}, ok")], "doc_id long, text string")
+    assert private.redacted(docs).first().text == f"see <{kind.upper()}>, ok"
+
+
 def test_long_runs_take_linear_time():
     text = "a" * 300_000 + "@" + "1" * 300_000 + " " * 300_000 + "one " * 50_000 + "(" * 200_000
     private.find_all(text)
