@@ -10,7 +10,8 @@ be compared with each other.
 A template is boilerplate if it recurs in documents that differ otherwise. Each document has a
 sketch, the least hash of its other lines; copies of one document share theirs. A template is
 dropped if its documents have ``LEAST_DOCS`` sketches or more, and no fewer sketches than half its
-documents: boilerplate among different documents passes, lines of copied documents don't.
+documents: boilerplate among different documents passes, lines of copied documents don't. Documents
+of equal text count as one, so that exact copies of one page don't outvote the others.
 """
 
 from __future__ import annotations
@@ -123,10 +124,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """``(key, documents, sketches)`` of the templates to drop."""
+    """``(key, documents, sketches)`` of the templates to drop; documents of equal text are one."""
+    each = lines.filter("first").select("th", "line", "sketch", F.explode("keys").alias("key"))
+    often = cut(each.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("key"))
+    hits = cut(each.join(often, "key", "left_semi").distinct())
     return (
-        lines.filter("first").select(F.explode("keys").alias("key"), "sketch")
-        .groupBy("key", "sketch").agg(F.count("*").alias("n"))
+        hits.groupBy("key", "sketch").agg(F.count("*").alias("n"))
         .groupBy("key").agg(F.sum("n").alias("documents"), F.count("*").alias("sketches"))
         .filter((F.col("sketches") >= least_docs) & (2 * F.col("sketches") >= F.col("documents")))
     )
@@ -154,7 +157,7 @@ def drop_template_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     All columns come as they came but the text. A null text stays null, an empty one empty, and a
     text of boilerplate alone becomes empty. Blank lines are never dropped. Null ids and repeated
-    rows are documents like any other; equal rows have the same sketch and count as copies. An empty
+    rows are documents like any other; equal texts count as one document. An empty
     table gives no rows. ``report`` gives ``(doc_id, n_lines, n_dropped, dropped, text)`` instead.
     """
     gone = dropped_lines(docs, id_col, text_col, least_docs)

@@ -76,6 +76,25 @@ def test_as_brute_force(spark):
         x for k, x in enumerate(t.split("\n")) if k not in d)) for (i, t), d in zip(rows, brute(rows), strict=True)), key=repr)
 
 
+FOOTER = "All rights of the makers are reserved."
+
+
+def words(*seed):
+    rng = random.Random(repr(seed))
+    return " ".join("".join(rng.choices("abcdefghijkl", k=7)) for _ in range(12))
+
+
+def dropped(spark, texts):
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    return {r.doc_id: list(r.dropped) for r in templates.drop_template_lines(docs, report=True).collect()}
+
+
+def test_copies_of_one_page_keep_no_footer(spark):
+    page = "\n".join([*(words("page", k) for k in range(5)), FOOTER])
+    got = dropped(spark, [words("own", i) + "\n" + FOOTER for i in range(30)] + [page] * 300)
+    assert got == {i: [1] if i < 30 else [5] for i in range(330)}
+
+
 def test_templates_share_one_stretch():
     same = ["the user a b c d e wrote this text here", "the user a b c d e wrote that text here"]
     _, _, _, found = templates.line_templates(pa.array(same))
