@@ -8,7 +8,8 @@ in at most ``1 + PARTS`` templates, told by hashes that add up over tokens, and
 be compared with each other.
 
 A template is boilerplate if it recurs in documents that differ otherwise. Each document has a
-sketch, the least hash of its other lines; copies of one document share theirs. A template is
+sketch, the least hash of its own lines, which have no template of ``LEAST_DOCS`` texts, or of its
+other lines if it has no own ones; copies of one document share theirs. A template is
 dropped if its documents have ``LEAST_DOCS`` sketches or more, and no fewer sketches than half its
 documents: boilerplate among different documents passes, lines of copied documents don't. Documents
 of equal text count as one, so that exact copies of one page don't outvote the others.
@@ -128,8 +129,18 @@ def boilerplate(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     each = lines.filter("first").select("th", "line", "sketch", F.explode("keys").alias("key"))
     often = cut(each.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs).select("key"))
     hits = cut(each.join(often, "key", "left_semi").distinct())
+    # again by different texts: the lines of a page that is only copied are its own
+    often = cut(hits.select("key", "th").distinct().groupBy("key").agg(F.count("*").alias("n"))
+                .filter(F.col("n") >= least_docs).select("key"))
+    hits = cut(hits.join(often, "key", "left_semi"))
+    shared = hits.groupBy("th").agg(F.collect_set("line").alias("shared"))
+    own = (
+        lines.filter("first").select("th", "line", F.col("keys")[0].alias("own")).join(shared, "th")
+        .filter(~F.array_contains("shared", F.col("line"))).groupBy("th").agg(F.min("own").alias("own"))
+    )
     return (
-        hits.groupBy("key", "sketch").agg(F.count("*").alias("n"))
+        hits.join(own, "th", "left").withColumn("sketch", F.coalesce("own", "sketch"))
+        .groupBy("key", "sketch").agg(F.count("*").alias("n"))
         .groupBy("key").agg(F.sum("n").alias("documents"), F.count("*").alias("sketches"))
         .filter((F.col("sketches") >= least_docs) & (2 * F.col("sketches") >= F.col("documents")))
     )

@@ -95,6 +95,16 @@ def test_copies_of_one_page_keep_no_footer(spark):
     assert got == {i: [1] if i < 30 else [5] for i in range(330)}
 
 
+def test_lines_that_documents_share_are_no_identity(spark):
+    texts, want = [], []
+    for kind, (shared, own) in enumerate([(2, 1), (3, 1), (4, 2), (6, 8)]):
+        lines = [words("shared", kind, k) for k in range(shared)]
+        for i in range(40):
+            texts.append("\n".join(lines + [words("own", kind, i, k) for k in range(own)]))
+            want.append([*range(shared)])
+    assert dropped(spark, texts) == dict(enumerate(want))
+
+
 def test_templates_share_one_stretch():
     same = ["the user a b c d e wrote this text here", "the user a b c d e wrote that text here"]
     _, _, _, found = templates.line_templates(pa.array(same))
