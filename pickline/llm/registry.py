@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pickline.llm import (
-    chat, exact, fill, grades, jaccard, middles, packages, phrases, private, repeats, templates,
+    chat, exact, fill, grades, jaccard, middles, negatives, packages, phrases, private, repeats, templates,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_personal_data": private.op8_personal_data,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_quality": grades.op10_quality,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_fill_in_middle": middles.op12_fill_in_middle,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op2_decontamination": phrases.OP2_SQL,
     "op4_repeated_lines": repeats.OP4_SQL,
     "op5_web_packages": packages.OP5_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
     "op12_fill_in_middle": middles.OP12_SQL,
 }
