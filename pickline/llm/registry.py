@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pickline.llm import (
-    chat, exact, fill, grades, jaccard, middles, negatives, packages, phrases, private, repeats, templates,
+    chat, exact, fill, grades, jaccard, middles, negatives, packages, phrases, prints, private, repeats, templates,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_quality": grades.op10_quality,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_fill_in_middle": middles.op12_fill_in_middle,
+    "op13_fingerprints": prints.op13_fingerprints,
 }
 
 ORACLES = {
