@@ -31,8 +31,9 @@ SIZE = 2048
 END_ID = 0
 #: Bytes of text tokenized at once; a longer text is tokenized alone.
 SLICE_BYTES = 2 << 20
-#: Chunks of text whose ids a worker remembers; beyond, it forgets all of them.
-CACHED = 200_000
+#: Words and other chunks whose ids a worker remembers, in about 200 bytes each; beyond, or for texts
+#: that bring more at once, it forgets all of them.
+CACHED = 600_000
 
 
 def _byte_names() -> dict[int, int]:
@@ -47,12 +48,25 @@ BYTE_NAMES = _byte_names()
 
 # ---- tokens -------------------------------------------------------------------------------------
 
+#: Words of letters that are one piece for the pattern, and marks that may follow one.
+_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+_MARKS = ".,;:!?"
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``begin, begin + 1, ...`` of ``count`` numbers each, one after the other."""
+    stops = np.cumsum(count)
+    return np.repeat(begin - stops + count, count) + np.arange(stops[-1] if len(stops) else 0)
+
+
 class ChunkTokenizer:
     """Ids of whole texts from the ids of their chunks between ASCII white space.
 
     Right for tokenizers that drop white space and never join what it separates, as
     ``word_bpe_49k.json`` does: its pattern has no white space in a piece, and its normalizer works
-    on neighbouring characters only. Each distinct chunk is then encoded once for many uses.
+    on neighbouring characters only. The distinct chunks of some texts are taken apart together: a
+    plain word, in lower case, and a mark after it have ids of their own, and only words and other
+    chunks that are not remembered are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -63,51 +77,66 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.flat, self.ends = array("I"), array("q", [0])
+        self.words: dict[str, int] = {}
+        self.others: dict[str, int] = {"": 0}
+        self.flat, self.ends = array("I"), array("q", [0, 0])
+        self.marks = np.array([self._add(self._whole([c])[0]) for c in _MARKS])
+
+    def _add(self, ids: list[int]) -> int:
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        return len(self.ends) - 2
 
-    def _word(self, chunk: str) -> list[int] | None:
-        """Ids of a plain word, with or without a mark after it; None for any other chunk.
+    def _whole(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-        A word of letters below U+0100 is one piece for the pattern, its normal form is itself in
-        lower case, and the model takes its bytes as the characters that stand for them.
+    def _word(self, word: str) -> int:
+        """Place of a word of lower-case letters below U+0100, which is its own normal form.
+
+        The model takes its bytes as the characters that stand for them.
         """
-        mark = self.marks.get(chunk[-1])
-        word = (chunk[:-1] if mark else chunk).lower()
-        if not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
-            return None
-        ids = self.words.get(word)
-        if ids is None:
-            plain = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_NAMES)
-            ids = self.words[word] = [t.id for t in self.model.tokenize(plain)]
-        return ids + mark if mark else ids
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > CACHED:
+        plain = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_NAMES)
+        return self._add([t.id for t in self.model.tokenize(plain)])
+
+    def _places(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of words and of other chunks are; all are needed together."""
+        if len(self.words) + len(self.others) + len(words) + len(others) > CACHED:
             self.clear()
-        other = []
-        for chunk in chunks:
-            if chunk not in self.known:
-                ids = self._word(chunk) if chunk else []
-                if ids is None:
-                    other.append(chunk)
-                else:
-                    self._add(chunk, ids)
-        for i in range(0, len(other), 5000):
-            some = other[i : i + 5000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False),
-                                strict=True):
-                self._add(chunk, e.ids)
-
-    def _add(self, chunk: str, ids: list[int]) -> None:
-        self.known[chunk] = len(self.ends) - 1
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
+        known = self.words
+        for word in words:
+            if word not in known:
+                known[word] = self._word(word)
+        new = [c for c in others if c not in self.others]
+        for i in range(0, len(new), 5000):
+            some = new[i : i + 5000]
+            self.others.update((c, self._add(ids)) for c, ids in zip(some, self._whole(some), strict=True))
+        return (np.fromiter((known[w] for w in words), np.int64, len(words)),
+                np.fromiter((self.others[c] for c in others), np.int64, len(others)))
+
+    def _chunks(self, chunks) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks of an Arrow string array one after the other, and where each ends."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        mark = pc.index_in(pc.utf8_slice_codeunits(chunks, -1), pa.array(list(_MARKS)))
+        marked = pc.is_valid(mark)
+        stem = pc.if_else(marked, pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        plain = pc.match_substring_regex(stem, _LETTERS)
+        coded = pc.utf8_lower(stem.filter(plain)).dictionary_encode()
+        words, others = self._places(coded.dictionary.to_pylist(), chunks.filter(pc.invert(plain)).to_pylist())
+        plain = plain.to_numpy(zero_copy_only=False)
+        # a chunk is a word and perhaps a mark, or something else as a whole; place 0 has no ids
+        place = np.zeros((len(chunks), 2), np.int64)
+        place[plain, 0] = words[coded.indices.to_numpy(zero_copy_only=False)]
+        place[~plain, 0] = others
+        after = plain & marked.to_numpy(zero_copy_only=False)
+        place[after, 1] = self.marks[mark.fill_null(0).to_numpy(zero_copy_only=False)[after]]
+        ends, flat = np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint32)
+        begin, count = ends[place.ravel()], ends[place.ravel() + 1] - ends[place.ravel()]
+        return flat[_spread(begin, count)], np.cumsum(count)[1::2]
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of an Arrow string array one after the other, and where each ends."""
@@ -115,20 +144,12 @@ class ChunkTokenizer:
 
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        # all are needed together, so what was known before may be forgotten but none of these
-        self._learn(chunks)
-        place = np.fromiter((self.known[c] for c in chunks), np.int64, len(chunks))
-        ends = np.frombuffer(self.ends, np.int64)
-        flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
+        ids, ends = self._chunks(coded.dictionary)
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        begin = ends[place][codes] if len(chunks) else np.zeros(0, np.int64)
-        count = (ends[place + 1] - ends[place])[codes] if len(chunks) else np.zeros(0, np.int64)
-        stops = np.cumsum(count)
-        total = int(stops[-1]) if len(stops) else 0
-        ids = flat[np.repeat(begin - stops + count, count) + np.arange(total)] if total else flat[:0].copy()
+        stops = np.concatenate([[0], ends])
+        begin, count = stops[codes], np.diff(stops)[codes]
         edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return ids, np.concatenate([[0], stops])[edges[1:]]
+        return ids[_spread(begin, count)], np.concatenate([[0], np.cumsum(count)])[edges[1:]]
 
 
 @lru_cache(maxsize=2)
