@@ -29,6 +29,8 @@ LEAST_WORDS = 25
 MARKS = ".!?,;:\u2026\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
 #: Counters of a summary of frequent digests, groups of tasks for the first merge, digests broadcast.
 TRACKED, MERGES, HEAVY = 8192, 64, 4096
+#: Parts that the rows of a frequent digest are spread over.
+SALTS = 4096
 
 _UNITS = {"clause": re.compile(rf"[^{MARKS}]*[{MARKS}]+|[^{MARKS}]+"), "line": re.compile(r"[^\n]+")}
 _AFTER = re.compile(r"[ \t\n\v\f\r]*")
@@ -111,12 +113,16 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("doc_id").cast("long"), whole_text("text").alias("text")).withColumn("th", F.xxhash64("text"))
     stretches = cut(own.mapInArrow(read, "doc_id long, th long, start long, end long, digest long")).withColumn(
         "rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "start"))
-    frequent = F.broadcast(_heavy(stretches, tracked, heavy))
-    rest = stretches.join(frequent, "digest", "left_anti").withColumn(
-        "first", F.min("rank").over(W.partitionBy("digest")))
-    return stretches.join(frequent, "digest").unionByName(rest).filter("rank > first").select(
-        "doc_id", "start", "end", F.lower(F.lpad(F.hex("digest"), 16, "0")).alias("digest"),
-        F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), "th").distinct()
+    frequent = F.broadcast(_heavy(stretches, tracked, heavy).withColumnRenamed("first", "known"))
+    # a frequent digest's first place is known, so its rows can be spread over the shuffle of the rest
+    salt = F.when(F.col("known").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("th", "start"), F.lit(SALTS)))
+    least = F.min("rank").over(W.partitionBy("digest", "salt"))
+    return (
+        stretches.join(frequent, "digest", "left").withColumn("salt", salt)
+        .withColumn("first", F.coalesce("known", least)).filter("rank > first").select(
+            "doc_id", "start", "end", F.lower(F.lpad(F.hex("digest"), 16, "0")).alias("digest"),
+            F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), "th").distinct()
+    )
 
 
 def _batch(pa, rows, kinds):
