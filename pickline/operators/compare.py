@@ -202,6 +202,28 @@ def _pair_block(block: pd.DataFrame, carry: pd.DataFrame) -> tuple[pd.DataFrame,
     )
 
 
+def _past_met_blocks(met: DataFrame, places: int, block_rows: int):
+    """Where waiting places go: the next block in which someone is left whom they haven't met.
+
+    Only places that met whole blocks have a list of these, no longer than there are blocks.
+    """
+    last = (places - 1) // block_rows
+    block = F.floor(F.col("lower") / block_rows).cast("bigint")
+    rows = F.when(F.col("met_block") == last, places - last * block_rows).otherwise(block_rows)
+    full = cut(
+        met.groupBy("upper", block.alias("met_block")).agg(F.count("*").alias("n")).filter(F.col("n") == rows)
+        .groupBy(F.col("upper").alias("place")).agg(F.collect_set("met_block").alias("full"))
+    )
+
+    def onward(handed: DataFrame) -> DataFrame:
+        ahead = F.sequence(F.col("block") + 1, F.lit(last + 1).cast("bigint"))
+        target = F.when(F.col("full").isNull(), F.col("block") + 1).otherwise(
+            F.element_at(F.array_except(ahead, "full"), 1))
+        return handed.join(full, F.col("c.place") == F.col("place"), "left").select(target.alias("block"), "c")
+
+    return onward
+
+
 def swiss_pairs(
     scores: DataFrame,
     history: DataFrame,
@@ -215,10 +237,12 @@ def swiss_pairs(
     ``(a, b)``; who finds none sits out. Ties go by id, or by a seeded hash.
 
     The result is exact at any size. Places are scanned in parallel blocks, see
-    :func:`carried_scan`. A block gets the history among places at most ``near`` apart, which is
-    bounded; pairs that turn out to be in the rest of the history are added as constraints and
-    the scan repeats. A scan under fewer constraints whose pairs break none of the others is the
-    scan under all of them, because its every choice was the first one allowed.
+    :func:`carried_scan`; who has met all of a block is led past it. A block gets the history among
+    places at most ``near`` apart, which is bounded. Pairs that turn out to be in the rest of the
+    history show whose history matters: it is added up to twice as far as the pair reached, and the
+    scan repeats, so that a place that met everyone needs a logarithmic number of scans. A scan under
+    fewer constraints whose pairs break none of the others is the scan under all of them, because its
+    every choice was the first one allowed.
     """
     tie = F.col("item") if seed is None else F.xxhash64("item", F.lit(seed))
     placed = cut(with_position(
@@ -233,7 +257,9 @@ def swiss_pairs(
         .select(F.least("pa", "pb").alias("upper"), F.greatest("pa", "pb").alias("lower"))
         .distinct()
     )
-    known = met.filter(F.col("lower") - F.col("upper") <= near)
+    onward = _past_met_blocks(met, placed.count(), block_rows)
+    distance = F.col("lower") - F.col("upper")
+    known = met.filter(distance <= near)
     while True:
         per_place = known.groupBy(F.col("lower").alias("position")).agg(
             F.collect_list("upper").alias("met")
@@ -241,11 +267,15 @@ def swiss_pairs(
         rows = cut(placed.select("position").join(per_place, "position", "left").withColumn(
             "block", F.floor(F.col("position") / block_rows).cast("bigint")
         ))
-        pairs = carried_scan(rows, _pair_block, "upper bigint, lower bigint", "place bigint")
-        broken = cut(met.join(pairs, ["upper", "lower"], "left_semi"))
-        if broken.isEmpty():
+        pairs = carried_scan(rows, _pair_block, "upper bigint, lower bigint", "place bigint", onward)
+        reached = cut(
+            pairs.join(met, ["upper", "lower"], "left_semi")
+            .groupBy("upper").agg(F.max(distance).alias("reach"))
+        )
+        if reached.isEmpty():
             break
-        known = cut(known.unionByName(broken).distinct())
+        more = met.join(reached, "upper").filter(distance <= 2 * F.col("reach")).select("upper", "lower")
+        known = cut(known.unionByName(more).distinct())
     return (
         pairs.join(at.select(F.col("position").alias("upper"), F.col("item").alias("a")), "upper")
         .join(at.select(F.col("position").alias("lower"), F.col("item").alias("b")), "lower")

@@ -136,6 +136,7 @@ def carried_scan(
     scan: Callable[[pd.DataFrame, pd.DataFrame], tuple[pd.DataFrame, pd.DataFrame]],
     row_ddl: str,
     carry_ddl: str,
+    onward: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Run a sequential scan block by block in parallel and repeat until the carries agree.
 
@@ -144,7 +145,11 @@ def carried_scan(
     carry; then only blocks whose incoming carry changed run again. When nothing changes, every
     block has seen its true predecessor, so the result is the sequential one. Each pass settles
     at least one more block, and scans that forget their start settle in two or three.
+
+    ``onward`` maps what blocks hand on, ``(block, c)``, to the blocks it goes to; the next one if not
+    given. It can lead a carry past blocks that are known to leave it as it is.
     """
+    onward = onward or (lambda handed: handed.withColumn("block", F.col("block") + 1))
     spark = rows.sparkSession
     result_fields = f"block bigint, is_carry boolean, r struct<{row_ddl}>, c struct<{carry_ddl}>"
     row_names = [p.split()[0] for p in row_ddl.replace(":", " ").split(",")]
@@ -174,7 +179,7 @@ def carried_scan(
             run, result_fields
         )
         kept = cut(fresh if kept is None else kept.unionByName(fresh))
-        handed = kept.filter("is_carry").select((F.col("block") + 1).alias("block"), "c")
+        handed = onward(kept.filter("is_carry").select("block", "c"))
         both = handed.withColumn("new", F.lit(1)).unionByName(carry.withColumn("new", F.lit(-1)))
         # whether the carry of a block changed: at most one row per block
         changed = cut(

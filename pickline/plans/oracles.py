@@ -23,6 +23,15 @@ LATER = "timestamp '2024-02-02 00:00:00'"
 EPOCH = "timestamp '2024-01-01 00:00:00'"
 
 VIEWS = {
+    "swmet": """select u, list(distinct l) as met from (select least(x.position, y.position) as u,
+        greatest(x.position, y.position) as l from pk join rk x on x.asset_id = best_id
+        join rk y on y.asset_id = worst_id where n > 1) group by u""",
+    "swstep": """select (select list(position order by position) from rk) as free,
+        cast(null as bigint) as upper, cast(null as bigint) as lower union all
+        select case when taken is null then free[2:] else list_filter(free[2:], lambda z: z <> taken) end,
+        case when taken is not null then free[1] end, taken
+        from (select free, list_filter(free[2:], lambda z: not coalesce(list_contains(met, z), false))[1]
+        as taken from swstep left join swmet on u = free[1] where len(free) > 1)""",
     "hashes": """select vec_id, cast(list_sum(list_transform(range(49), lambda i:
         case when embedding[i + i // 7 + 1] > embedding[i + i // 7 + 2]
         then cast(1 as bigint) << (48 - i) else 0 end)) as bigint) as dhash from embeddings""",
@@ -248,7 +257,7 @@ def sql(text: str) -> str:
     if not names:
         return text
     ctes = ", ".join(f"{n} as ({VIEWS[n]})" for n in names)
-    return f"with {'recursive ' if 'rc' in names else ''}{ctes} {text}"
+    return f"with {'recursive ' if {'rc', 'swstep'} & set(names) else ''}{ctes} {text}"
 
 
 def _sweeps(count: int) -> str:
@@ -463,6 +472,8 @@ ORACLES: dict[str, str] = {
         where stage = 'finals'""",
     "swiss_pairs": """select x.asset_id as a, y.asset_id as b, x.position as place from rk x
         join rk y on y.position = x.position + 1 where x.position % 2 = 0""",
+    "swiss_pairs_history": """select x.asset_id as a, y.asset_id as b, upper as place from swstep
+        join rk x on x.position = upper join rk y on y.position = lower""",
     "reconcile_orders": """select duel_id, a_id, b_id, case when f = r then f else 'tie' end
         as winner, f = r as agreed from (select *, case forward_pick when 'A' then a_id
         when 'B' then b_id else 'tie' end as f, case reverse_pick when 'A' then b_id
