@@ -57,7 +57,7 @@ def five_target(scores: DataFrame, fraction: float = 0.05, five_count: int | Non
 def top_pool(scores: DataFrame, five: int, floor: int = 50) -> DataFrame:
     """The strongest ``max(floor, 2 * five)`` scored items."""
     scored = scores.filter(F.col("bt_score").isNotNull()).select("asset_id", "bt_score")
-    return top_n(scored, max(floor, 2 * five, 0), *by_strength())
+    return top_n(scored, max(floor, 2 * five, 0), ("bt_score", False), ("asset_id", True))
 
 
 def _banded(placed: DataFrame, fives: int, fours: int, rest: int | None) -> DataFrame:

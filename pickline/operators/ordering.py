@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from pickline.session import cut
@@ -20,6 +20,8 @@ PART, ROW = "_part", "_row"
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row within partition below
 #: Rows per block of a sequential scan.
 BLOCK_ROWS = 65_536
+#: Rows that one task sorts at the end of a selection, and pivots of a pass.
+TASK_ROWS, PIVOTS = 100_000, 32
 
 
 def globally_ordered(df: DataFrame, *order: Column) -> DataFrame:
@@ -54,12 +56,73 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
     )
 
 
-def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first ``n`` rows in order, cut by position, so no task merges them all."""
-    placed = with_position(df, *order, name="_position")
+def _before(df: DataFrame, pivot: Row, keys: list[tuple[str, bool]], equal: bool) -> Column:
+    """Whether a row sorts before ``pivot`` (or like it); nulls are the least values."""
+    kinds = dict(df.dtypes)
+    found = F.lit(equal)
+    for name, ascending in reversed(keys):
+        here, there = F.col(f"`{name}`"), F.lit(pivot[name]).cast(kinds[name])
+        if pivot[name] is None:
+            less, more = F.lit(False), here.isNotNull()
+        else:
+            less, more = here.isNull() | (here < there), here > there
+        first = F.coalesce(less if ascending else more, F.lit(False))
+        found = first | (here.eqNullSafe(there) & found)
+    return found
+
+
+def top_n(df: DataFrame, n: int, *keys: tuple[str, bool], task_rows: int = TASK_ROWS) -> DataFrame:
+    """The first ``n`` rows in order of ``keys``, pairs of a column and whether it ascends.
+
+    Nulls are the least values. By distributed selection: rows are counted between a few sampled
+    pivots, and again within the stretch that holds the ``n``-th row, until that has at most
+    ``task_rows`` rows. Counting moves a number per task and stretch; only the rows up to the end of
+    the last stretch are sorted, so the table itself is never shuffled, whatever ``n`` is.
+    """
+    rows = cut(df)
+    low, high = None, None
+    before, inside = 0, rows.count()
+    selects = 0 < n < inside  # else there is nothing to select
+    while selects and inside > task_rows:
+        within = rows
+        if low is not None:
+            within = within.filter(~_before(rows, low, keys, True))
+        if high is not None:
+            within = within.filter(_before(rows, high, keys, True))
+        names = [name for name, _ in keys]
+        drawn = within.select(*names).sample(min(1.0, 8 * PIVOTS / inside), seed=inside)
+        ordered = drawn.orderBy(*_sorted_by(keys)).collect()
+        pivots = ordered[:: max(1, len(ordered) // PIVOTS)]
+        if not pivots:
+            pivots = [within.select(*names).first()]
+        stretch = sum((F.when(_before(rows, p, keys, True), 0).otherwise(1) for p in pivots), F.lit(0))
+        counts = dict(within.groupBy(stretch.alias("s")).count().collect())
+        for k in range(len(pivots) + 1):
+            if before + counts.get(k, 0) >= n:
+                break
+            before += counts.get(k, 0)
+        if k:
+            low = pivots[k - 1]
+        if k < len(pivots):
+            high = pivots[k]
+        if counts.get(k, 0) == inside:  # rows with one key, which no pivot can part
+            break
+        inside = counts.get(k, 0)
+    if n <= 0:
+        return rows.limit(0)
+    some = rows if high is None else rows.filter(_before(rows, high, keys, True))
+    order = _sorted_by(keys)
+    if n <= task_rows:
+        return some.orderBy(*order).limit(n)
+    placed = with_position(some, *order, name="_position")
     return placed.filter(F.col("_position") < n).orderBy("_position").drop("_position")
 
 
+def _sorted_by(keys) -> list[Column]:
+    return [F.col(f"`{name}`").asc_nulls_first() if ascending else F.col(f"`{name}`").desc_nulls_last()
+            for name, ascending in keys]
+
+
 def segments(
     df: DataFrame,
     order: list[Column],

@@ -92,8 +92,8 @@ def work_queue(
     queue = groups.unionByName(singles).withColumn(
         "custom_id", make_work_id(F.col("kind"), F.col("key"))
     )
-    order = [F.col("kind"), F.col("taken_at").asc_nulls_first(), F.col("key")]
-    ordered = queue.orderBy(*order) if limit is None else top_n(queue, limit, *order)
+    order = ("kind", "taken_at", "key")
+    ordered = queue.orderBy(*order) if limit is None else top_n(queue, limit, *[(c, True) for c in order])
     return ordered.select("kind", "key", "custom_id")
 
 

@@ -52,13 +52,49 @@ def test_one_segment_over_everything(spark):
     assert [r.id for r in got.filter("last").collect()] == [999]
 
 
-@pytest.mark.parametrize("n", [0, 20, 499, 700])
-def test_top_n_comes_in_order(spark, n):
-    df = spark.range(500).repartition(5)
-    got = [r.id for r in ordering.top_n(df, n, F.col("id").desc()).collect()]
-    assert got == list(range(499, max(-1, 499 - n), -1))
+def mixed(spark, count):
+    """Ties, nulls and NaN in the first key, a unique second one."""
+    rng = random.Random(count)
+    values = [None, float("nan"), float("-inf"), -0.0, 0.0] + [float(v) for v in range(12)]
+    return spark.createDataFrame([(rng.choice(values), f"k{i:05d}") for i in range(count)], "v double, k string").repartition(5)
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("n", [0, 1, 30, 1500, 2999, 3000, 5000])
+def test_top_n_comes_in_order(spark, n, ascending):
+    df = mixed(spark, 3000)
+    order = [F.col("v").asc() if ascending else F.col("v").desc(), F.col("k").desc() if ascending else F.col("k").asc()]
+    want = [r.k for r in df.orderBy(*order).collect()][:n]
+    got = ordering.top_n(df, n, ("v", ascending), ("k", not ascending), task_rows=40).collect()
+    assert [r.k for r in got] == want
+
+
+def test_top_n_of_equal_keys(spark):
+    same = spark.createDataFrame([(1.0, i) for i in range(500)], "v double, i int")
+    assert ordering.top_n(same, 70, ("v", True), task_rows=10).count() == 70
+    assert ordering.top_n(same.limit(0), 5, ("v", True)).collect() == []
+
+
+@pytest.mark.parametrize(("n", "task_rows"), [(500, 1000), (50_000, 1000)])
+def test_top_n_never_shuffles_the_table(spark, monkeypatch, n, task_rows):
+    written, sorted_rows = [], []
+    real = ordering.cut
+    monkeypatch.setattr(ordering, "cut", lambda df: written.append(
+        df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    place = ordering.with_position
+    monkeypatch.setattr(ordering, "with_position", lambda df, *a, **k: sorted_rows.append(df.count()) or place(df, *a, **k))
+    df = spark.range(200_000).withColumn("v", F.xxhash64("id"))
+    got = ordering.top_n(df, n, ("v", False), ("id", True), task_rows=task_rows)
+    assert "Exchange" not in written[0]  # the whole table is written where it lies
+    assert got.count() == n
+    if n > task_rows:
+        assert n <= sorted_rows[0] <= n + task_rows
+    else:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+        assert plan.count("Filter") >= 1
 
 
 def test_a_long_top_n_comes_in_order(spark):
-    got = [r.id for r in ordering.top_n(spark.range(150_000), 120_000, F.col("id").desc()).collect()]
+    got = [r.id for r in ordering.top_n(spark.range(150_000), 120_000, ("id", False)).collect()]
     assert got == list(range(149_999, 29_999, -1))
