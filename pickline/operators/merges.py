@@ -1,7 +1,9 @@
 """Merging new verdicts, decisions and stamps into tables.
 
-Plain parquet has no row updates, so a merge is a full outer join that yields the table's next
-version. Updates are reduced to one row per key before the shuffle of the join.
+Plain parquet has no row updates, so a merge yields the table's next version. Updates are reduced to
+one row per key. A Bloom filter of their keys, built by aggregation and broadcast, tells which rows of
+the table may be updated: only these are shuffled to a full outer join with the updates, the others
+stay where they lie.
 """
 
 from __future__ import annotations
@@ -13,6 +15,10 @@ from pickline.functions.scalars import work_kind
 from pickline.schemas import BATCH_ITEMS, BATCHES, BURSTS, DECISIONS, TRIAGE, align
 
 
+#: Blocks of the filter of update keys and bits of each: 4 MB, sparse up to about two million keys.
+FILTER_BLOCKS, BLOCK_BITS = 1024, 32_768
+
+
 def last_per_key(updates: DataFrame, key: str, seq: str) -> DataFrame:
     """The row with the greatest ``seq`` per key, combined map-side."""
     rest = [c for c in updates.columns if c not in (key, seq)]
@@ -31,6 +37,37 @@ def one_per_key(updates: DataFrame, key: str) -> DataFrame:
     return updates.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, "_r.*")
 
 
+def _filter_bits(key: str) -> tuple[Column, list[Column]]:
+    """The block of a key in the filter, and its bits there."""
+    h = F.xxhash64(key)
+    bits = [F.shiftrightunsigned(h, s).bitwiseAND(F.lit(BLOCK_BITS - 1).cast("bigint")) for s in (10, 25, 40)]
+    return F.pmod(h, F.lit(FILTER_BLOCKS)).cast("int"), bits
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """``(block, bits)``: a blocked Bloom filter of a key column, at most 1,024 rows of 4 KB."""
+    block, bits = _filter_bits(key)
+    return keys.select(block.alias("block"), F.explode(F.array(*bits)).alias("bit")).groupBy("block").agg(
+        F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def split_by_filter(target: DataFrame, updates: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``target`` whose key may be among the updates', and those whose key is not."""
+    block, bits = _filter_bits("key")
+    packed = target.select(F.col(key).alias("key"), F.struct(*target.columns).alias("row"))
+    keys = updates.select(F.col(key).cast(target.schema[key].dataType).alias(key))  # types hash differently
+    looked_up = packed.join(
+        F.broadcast(key_filter(keys, key)), block == F.col("block"), "left")
+
+    def is_set(bit: Column) -> Column:
+        at = F.floor(bit / 8).cast("int")
+        byte = F.conv(F.hex(F.substring(F.col("bits"), at + 1, F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, (bit % 8).cast("int")) == 1
+
+    found = F.coalesce(is_set(bits[0]) & is_set(bits[1]) & is_set(bits[2]), F.lit(False))
+    return looked_up.filter(found).select("row.*"), looked_up.filter(~found).select("row.*")
+
+
 def merge_upsert(
     target: DataFrame,
     updates: DataFrame,
@@ -41,12 +78,14 @@ def merge_upsert(
     """Insert or update by key; only columns present in ``updates`` are written.
 
     ``seq`` orders several updates of one key, the last one wins; without it the greatest row does,
-    so the key stays unique either way.
+    so the key stays unique either way. ``updates`` are read twice, for the filter and for the join; with
+    millions of them the filter lets more rows pass than it must, which costs shuffling, not results.
     ``overrides`` computes a column of updated or inserted rows from ``old`` and ``new`` structs.
     """
     updates = one_per_key(updates, key) if seq is None else last_per_key(updates, key, seq)
     written = [c for c in target.columns if c in updates.columns and c != key]
-    old = target.select(key, F.struct(*[c for c in target.columns if c != key]).alias("old"))
+    near, rest = split_by_filter(target, updates, key)
+    old = near.select(key, F.struct(*[c for c in target.columns if c != key]).alias("old"))
     new = updates.select(key, F.struct(*[F.col(c) for c in written] or [F.lit(1).alias("_")])
                          .alias("new"))
     kinds = {f.name: f.dataType for f in target.schema}
@@ -62,7 +101,7 @@ def merge_upsert(
         elif c in written:
             value = F.when(touched, F.col(f"new.{c}").cast(kinds[c])).otherwise(value)
         columns.append(value.alias(c))
-    return old.join(new, key, "full_outer").select(*columns)
+    return old.join(new, key, "full_outer").select(*columns).unionByName(rest)
 
 
 def merge_triage(triage: DataFrame, verdicts: DataFrame, seq: str | None = None) -> DataFrame:

@@ -291,6 +291,35 @@ def test_upserts_keep_keys_unique_without_an_order(spark):
     assert got == [("a", 7), ("b", 2), ("c", 3)]
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_small_updates_shuffle_few_rows(spark, kind):
+    target = spark.range(100_000).select(F.col("id").cast(kind).alias("k"), F.col("id").alias("v"), F.lit("kept").alias("w"))
+    updates = spark.range(99_990, 100_010).select(F.col("id").cast("int" if kind == "bigint" else kind).alias("k"), (-F.col("id")).alias("v"))
+    near, rest = merges.split_by_filter(target, updates, "k")
+    assert 10 <= near.count() <= 10 + 100 and near.count() + rest.count() == 100_000
+    assert near.filter("v >= 99990").count() == 10  # no key of an update is missed
+    for part in (near, rest):  # only the filter is exchanged, and only by broadcast to the rows
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert "Exchange hashpartitioning(key" not in plan and "Exchange hashpartitioning(k" not in plan
+    merged = merges.merge_upsert(target, updates, "k")
+    assert merged.count() == 100_010
+    got = {r.k: (r.v, r.w) for r in merged.filter("v < 0 or v in (0, 99989)").collect()}
+    of = str if kind == "string" else int
+    assert got == {of(i): (-i, "kept" if i < 100_000 else None) for i in range(99_990, 100_010)} | {
+        of(0): (0, "kept"), of(99_989): (99_989, "kept")}
+
+
+def test_updates_of_everything_and_of_nothing(spark):
+    target = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, v int")
+    none = target.limit(0)
+    assert sorted(merges.merge_upsert(target, none, "k").collect(), key=repr) == sorted(target.collect(), key=repr)
+    assert sorted(merges.merge_upsert(none, target, "k").collect(), key=repr) == sorted(target.collect(), key=repr)
+    many = spark.range(300_000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
+    merged = merges.merge_upsert(many, many.withColumn("v", F.lit(2)), "k")
+    assert merged.agg(F.count("*"), F.sum("v")).first()[:] == (300_000, 600_000)
+
+
 def test_the_tail_leaves_exempt_photos_alone(spark):
     triage = rows(spark, TRIAGE, *[{"asset_id": a, "category": "photo", "technical_score": 6}
                                    for a in "ab"])
