@@ -79,10 +79,12 @@ def _heavy(stretches: DataFrame, tracked: int, heavy: int) -> DataFrame:
         .groupBy("g").agg(F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("s"))
         .withColumn("all", F.col("g") * 0).groupBy("all").agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("t"))
-        .select(F.col("t.item").alias("digest"))
+        .select(F.col("t.item").alias("digest"), F.lit(True).alias("proposed"))
     )
-    return cut(stretches.join(F.broadcast(proposed), "digest", "left_semi")
-               .groupBy("digest").agg(F.min("rank").alias("first")))
+    # all rows pass the join and those of no proposed digest meet in one partial sum per task
+    firsts = cut(stretches.join(F.broadcast(proposed), "digest", "left")
+                 .groupBy(F.when(F.col("proposed"), F.col("digest")).alias("digest")).agg(F.min("rank").alias("first")))
+    return firsts.filter(F.col("digest").isNotNull())
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS,
