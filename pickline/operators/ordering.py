@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from pickline.session import cut
 
@@ -123,6 +126,63 @@ def _sorted_by(keys) -> list[Column]:
             for name, ascending in keys]
 
 
+def _with_previous(batches):
+    """Each row's ``_this`` next to that of the row before it in the partition."""
+    import pyarrow as pa
+
+    before = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        this = batch["_this"]
+        first = before is None
+        shifted = pa.concat_arrays([pa.nulls(1, this.type) if first else before, this.slice(0, len(this) - 1)])
+        before = this.slice(len(this) - 1, 1)
+        opens = np.zeros(len(this), bool)
+        opens[0] = first
+        yield pa.RecordBatch.from_arrays([*batch.columns, shifted, pa.array(opens)],
+                                         [*batch.schema.names, "_prev", "_opens"])
+
+
+def _numbered(batches):
+    """Runs of a sorted partition: ``_seg`` starts so far, ``_pos`` in the run, the run's ``_head``.
+
+    The partition's first row opens run 0, whether it goes on with a run of the partition before or
+    not. ``_last`` is null for the partition's last row.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    part, row, runs, begin, head, pending = TaskContext.get().partitionId(), 0, 0, 0, None, None
+
+    def ended(batch, last):
+        return pa.RecordBatch.from_arrays([*batch.columns, last], [*batch.schema.names, "_last"])
+
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        start = batch["_start"].to_numpy(zero_copy_only=False)
+        at = row + np.arange(n)
+        first_of_run = np.maximum.accumulate(np.where(start, at, begin))
+        heads = pa.concat_arrays([batch["_head"].slice(0, 1) if head is None else head, batch["_head"]])
+        from_here = np.maximum.accumulate(np.where(start, np.arange(1, n + 1), 0))
+        own = pc.take(heads, pa.array(from_here))
+        seg = runs + np.cumsum(start)
+        out = pa.RecordBatch.from_arrays(
+            [batch["_this"], own, pa.array(np.full(n, part, np.int32)), pa.array(at),
+             pa.array(seg.astype(np.int64)), pa.array(at - first_of_run)],
+            ["_this", "_head", PART, ROW, "_seg", "_pos"])
+        if pending is not None:
+            yield ended(pending, pa.array([bool(start[0])]))
+        if n > 1:
+            yield ended(out.slice(0, n - 1), pa.array(start[1:]))
+        pending, head = out.slice(n - 1, 1), own.slice(n - 1, 1)
+        row, runs, begin = row + n, int(seg[-1]), int(first_of_run[-1])
+    if pending is not None:
+        yield ended(pending, pa.nulls(1, pa.bool_()))
+
+
 def segments(
     df: DataFrame,
     order: list[Column],
@@ -134,63 +194,62 @@ def segments(
     ``linked(previous, current)`` takes two struct columns holding all columns of ``df``. Adds
     ``segment`` (0-based number in order), ``pos`` (0-based within the segment), ``last`` (whether
     the row ends its segment) and ``head`` (the expression's value on the segment's first row).
+
+    Rows are shuffled once, by range. Two streaming passes over the sorted partition number its runs,
+    and one summary row per partition (its first and last row, its runs and the length of the last
+    one) tells how they go on across borders.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
-    rows = globally_ordered(df, *order).withColumn("_this", F.struct(*columns))
-    inside = Window.partitionBy(PART).orderBy(ROW)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = Window.orderBy(PART)  # over one row per partition only
-    before = parts.rowsBetween(Window.unboundedPreceding, -1)
-
-    borders = rows.groupBy(PART).agg(F.max_by("_this", ROW).alias("_tail")).select(
-        PART, F.lag("_tail").over(parts).alias("_border")
+    packed = (
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .select(F.struct(*columns).alias("_this"), F.struct(head.alias("v")).alias("_head"))
     )
-    flagged = (
-        rows.withColumn("_prev", F.lag("_this").over(inside))
-        .join(F.broadcast(borders), PART, "left")
-        .withColumn("_prev", F.coalesce("_prev", "_border"))
-        .withColumn(
-            "_start",
-            F.col("_prev").isNull()
-            | ~F.coalesce(linked(F.col("_prev"), F.col("_this")), F.lit(False)),
-        )
-        .withColumn("_head", F.when(F.col("_start"), F.struct(head.alias("v"))))
-        .drop("_prev", "_border", "_this")
+    this, first = packed.schema["_this"], packed.schema["_head"]
+    beside = StructType([this, first, StructField("_prev", this.dataType), StructField("_opens", BooleanType())])
+    numbered = StructType([
+        this, first, StructField(PART, IntegerType()), StructField(ROW, LongType()),
+        StructField("_seg", LongType()), StructField("_pos", LongType()), StructField("_last", BooleanType())])
+    link = F.coalesce(linked(F.col("_prev"), F.col("_this")), F.lit(False))
+    rows = cut(
+        packed.mapInArrow(_with_previous, beside)
+        .select("_this", "_head", (~F.col("_opens") & ~link).alias("_start"))
+        .mapInArrow(_numbered, numbered)
     )
-    summary = flagged.groupBy(PART).agg(
-        (F.max(ROW) + 1).alias("_n"),
-        F.count_if("_start").alias("_starts"),
-        F.max(F.when(F.col("_start"), F.col(ROW))).alias("_last_start"),
-        F.max_by("_head", F.when(F.col("_start"), F.col(ROW))).alias("_last_head"),
-        F.min_by("_start", ROW).alias("_opens"),
+    parts = Window.orderBy(PART)  # over one row per partition only
+    upto = parts.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    summary = rows.groupBy(PART).agg(
+        F.count("*").alias("_n"), F.max("_seg").alias("_starts"),
+        F.min_by("_this", ROW).alias("_this"), F.max_by("_this", ROW).alias("_tail"),
+        F.min_by("_head", ROW).alias("_first_head"), F.max_by("_head", ROW).alias("_last_head"),
+        (F.max_by("_pos", ROW) + 1).alias("_length"),
+    ).withColumn("_prev", F.lag("_tail").over(parts)).withColumn(
+        "_goes_on", F.col("_prev").isNotNull() & link).withColumn(
+        "_offset", F.sum("_n").over(parts) - F.col("_n"))
+    new_run = ~F.col("_goes_on") | (F.col("_starts") > 0)
+    ends = summary.select(
+        PART, "_goes_on", "_offset",
+        (F.coalesce(F.sum("_starts").over(before), F.lit(0))
+         + F.sum(F.when(F.col("_goes_on"), 0).otherwise(1)).over(upto) - 1).alias("_base"),
+        # where the partition's last run began, and its head: its own or that of a partition before
+        F.when(F.col("_starts") > 0, F.col("_offset") + F.col("_n") - F.col("_length"))
+        .when(~F.col("_goes_on"), F.col("_offset")).alias("_begin"),
+        F.when(F.col("_starts") > 0, F.struct(F.col("_last_head")["v"].alias("v")))
+        .when(new_run, F.struct(F.col("_first_head")["v"].alias("v"))).alias("_run_head"),
     )
-    carried = (
-        summary.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select(
-            PART,
-            F.col("_offset"),
-            F.coalesce(F.sum("_starts").over(before), F.lit(0)).alias("_segments"),
-            F.max(F.col("_offset") + F.col("_last_start")).over(before).alias("_open_at"),
-            F.last("_last_head", ignorenulls=True).over(before).alias("_open_head"),
-            F.lead("_opens").over(parts).alias("_next_opens"),
-        )
+    carried = ends.select(
+        F.col(PART).alias("_in"), "_goes_on", "_base",
+        (F.col("_offset") - F.last("_begin", ignorenulls=True).over(before)).alias("_open_pos"),
+        F.last("_run_head", ignorenulls=True).over(before).alias("_open_head"),
+        (~F.lead("_goes_on").over(parts)).alias("_ends"),
     )
-    start_row = F.last(F.when(F.col("_start"), F.col(ROW)), ignorenulls=True).over(upto)
-    return (
-        flagged.withColumn("_at", start_row)
-        .withColumn("_count", F.count_if("_start").over(upto))
-        .withColumn("_head", F.last("_head", ignorenulls=True).over(upto))
-        .withColumn("_next", F.lead("_start").over(inside))
-        .join(F.broadcast(carried), PART)
-        .select(
-            *columns,
-            (F.col("_segments") + F.col("_count") - 1).alias("segment"),
-            F.when(F.col("_at").isNotNull(), F.col(ROW) - F.col("_at"))
-            .otherwise(F.col("_offset") + F.col(ROW) - F.col("_open_at"))
-            .alias("pos"),
-            F.coalesce("_next", "_next_opens", F.lit(True)).alias("last"),
-            F.coalesce("_head", "_open_head")["v"].alias("head"),
-        )
+    open_run = (F.col("_seg") == 0) & F.col("_goes_on")
+    return rows.join(F.broadcast(carried), F.col(PART) == F.col("_in")).select(
+        *[F.col("_this")[c].alias(c) for c in df.columns],
+        (F.col("_base") + F.col("_seg")).alias("segment"),
+        F.when(open_run, F.col("_pos") + F.col("_open_pos")).otherwise(F.col("_pos")).alias("pos"),
+        F.coalesce("_last", "_ends", F.lit(True)).alias("last"),
+        F.when(open_run, F.col("_open_head")).otherwise(F.col("_head"))["v"].alias("head"),
     )
 
 

@@ -59,6 +59,45 @@ def mixed(spark, count):
     return spark.createDataFrame([(rng.choice(values), f"k{i:05d}") for i in range(count)], "v double, k string").repartition(5)
 
 
+@pytest.mark.parametrize(("rate", "partitions", "batch"), [(0.02, 9, 3), (0.5, 4, 1), (0.9, 1, 100), (0.0, 6, 7)])
+def test_segments_as_a_loop(spark, monkeypatch, rate, partitions, batch):
+    rng = random.Random(partitions)
+    values, at = [], 0
+    for _ in range(400):
+        at += 5 if rng.random() < rate else 1
+        values.append((at, None if rng.random() < 0.3 else f"h{at}"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(values, "v int, h string").repartition(3)
+        got = ordering.segments(df, [F.col("v")], lambda p, t: t["v"] - p["v"] <= 1, F.col("h")).orderBy("v").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, segment, start = [], -1, 0
+    for i, (v, h) in enumerate(values):
+        if i == 0 or v - values[i - 1][0] > 1:
+            segment, start = segment + 1, i
+        last = i + 1 == len(values) or values[i + 1][0] - v > 1
+        want.append((v, h, segment, i - start, last, values[start][1]))
+    assert [tuple(r) for r in got] == want
+
+
+def test_segments_shuffle_rows_once(spark, monkeypatch):
+    plans = []
+    real = ordering.cut
+    monkeypatch.setattr(ordering, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    df = spark.range(1000).repartition(3).withColumn("v", F.col("id") * 2)
+    got = ordering.segments(df, [F.col("v")], lambda p, t: t["v"] - p["v"] <= 2, F.col("id"))
+    assert plans[0].count("Exchange rangepartitioning") == 1 and plans[0].count("Exchange hashpartitioning") == 0
+    final = got._jdf.queryExecution().executedPlan().toString()
+    # what is exchanged after it are summaries, one row per partition
+    assert "hashpartitioning(_part" in final and final.count("hashpartitioning") <= 1 and "SortMergeJoin" not in final
+    assert ordering.segments(df.limit(0), [F.col("v")], lambda p, t: F.lit(True), F.col("id")).collect() == []
+
+
 @pytest.mark.parametrize("ascending", [True, False])
 @pytest.mark.parametrize("n", [0, 1, 30, 1500, 2999, 3000, 5000])
 def test_top_n_comes_in_order(spark, n, ascending):
