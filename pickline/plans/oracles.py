@@ -287,6 +287,20 @@ ORACLES: dict[str, str] = {
         else '' end as camera, case when event_id % 2 = 0 then null else 'text' end as description,
         400 as width, 300 as height, case when event_id % 2 = 0 then 4 else 2 end as source_rating,
         event_id as dhash from events where event_type not in ('error', 'view')""",
+    "read_assets_window": f"""select {_id('e', 'event_id')} as id, 'IMG_' || cast(event_id as varchar)
+        as filename, epoch_us(date_trunc('millisecond', ts)) as taken_at,
+        case when event_id % 2 = 0 or event_id % 3 = 0 then
+        (case when event_id % 2 = 0 then 'maker' || cast(user_id % 5 as varchar) else '' end) || '|'
+        || (case when event_id % 3 = 0 then 'm' || cast(user_id as varchar) else '' end)
+        else '' end as camera, case when event_id % 2 = 0 then null else 'text' end as description,
+        400 as width, 300 as height, case when event_id % 2 = 0 then 4 else 2 end as source_rating,
+        event_id as dhash from events where event_type not in ('error', 'view')
+        and date_trunc('millisecond', ts) >= timestamp '2024-01-10'
+        and date_trunc('millisecond', ts) < timestamp '2024-01-20'""",
+    "hash_images": """select vec_id, cast(sum(case when this > next then bit else 0 end) as bigint) as dhash from (
+        select vec_id, floor((cast(embedding[i + 1] as double) + 1) * 127.5) as this, floor((cast(embedding[i - i % 8 + (i + 1) % 8 + 1] as double) + 1) * 127.5) as next,
+        case when i = 0 then -9223372036854775808::hugeint else 1::hugeint << (63 - i) end as bit
+        from embeddings, range(64) t(i)) group by vec_id""",
     "time_window": """select event_id, user_id, epoch_us(ts) as ts from events
         where ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20'""",
     "lookup": f"""select id, camera, epoch_us(taken_at) as taken_at from a0
@@ -575,6 +589,8 @@ ORACLES: dict[str, str] = {
         select 'enriched', count(*) from oa where ok and has_enrich""",
     "reconcile_stamps": """select 'decision' as what, asset_id from oa where ok and has_decision
         union all select 'enrich', asset_id from oa where ok and has_enrich""",
+    "write_actions": """select 'decision' as what, asset_id from oa where ok and has_decision
+        union all select 'enrich', asset_id from oa where ok and has_enrich""",
     "report_keepers": """select asset_id, bucket, bt_score, null as rank, sc.stars, filename,
         array_to_string(reasons, '; ') as reasons from pd join sc using (asset_id)
         left join vp using (asset_id) where bucket in ('five_star', 'four_star')""",

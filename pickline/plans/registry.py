@@ -19,7 +19,9 @@ from pickline.plans import views as V
 from pickline.schemas import ASSETS, DECISIONS, Options, align, empty_tables
 from pickline.session import checkpoint_dir
 from pickline.sources import assets as sources
+from pickline.sources import images
 from pickline.sources.tables import save_tables
+from pickline.sources.tables import write_actions as write_plan
 from pickline.streaming import bursts as stream_ops
 from pickline.streaming import watch as watching
 
@@ -42,12 +44,12 @@ def joined(name: str, sep: str = ","):
 
 # --- sources ---------------------------------------------------------------------------------
 
-@query
-def read_assets(spark, d):
+def _documents(spark, d):
+    """Events as nested asset documents."""
     e = V.table(spark, d, "events")
     even = F.col("event_id") % 2 == 0
     text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    documents = e.select(
+    return e.select(
         F.when(F.col("event_type") != "error", V.key("e", "event_id")).alias("id"),
         F.concat(F.lit("IMG_"), F.col("event_id").cast("string")).alias("originalFileName"),
         F.when(F.col("event_type") == "view", "VIDEO")
@@ -66,10 +68,34 @@ def read_assets(spark, d):
         ).alias("exifInfo"),
         F.col("event_id").alias("dhash"), F.lit(None).cast("string").alias("thumb_path"),
     )
-    return sources.flatten_assets(documents).select(
-        "id", "filename", micros("taken_at"), "camera", "description", "width", "height",
-        "source_rating", "dhash",
-    )
+
+
+def _scratch(spark, what):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _asset_columns():
+    return ["id", "filename", micros("taken_at"), "camera", "description", "width", "height", "source_rating", "dhash"]
+
+
+@query
+def read_assets(spark, d):
+    return sources.flatten_assets(_documents(spark, d)).select(*_asset_columns())
+
+
+@query
+def read_assets_window(spark, d):
+    path = _scratch(spark, "documents")
+    sources.write_documents(_documents(spark, d), path)
+    return sources.read_assets(spark, path, after="2024-01-10", before="2024-01-20").select(*_asset_columns())
+
+
+@query
+def hash_images(spark, d):
+    path = _scratch(spark, "images")
+    V.write_images(spark, d, path)
+    found = images.hash_images(spark, path)
+    return found.select(F.regexp_extract("path", r"vec_id=(\d+)", 1).cast("bigint").alias("vec_id"), "dhash")
 
 
 @query
@@ -882,6 +908,16 @@ def reconcile_stamps(spark, d):
         done["enriched"].select(F.lit("enrich").alias("what"), "asset_id"))
 
 
+@query
+def write_actions(spark, d):
+    path = _scratch(spark, "actions")
+    write_plan(_part_plan(spark, d), path, dry_run=False)
+    written = spark.read.parquet(path)
+    done = actions.reconcile(written, _outcomes(written))
+    return done["decisions"].select(F.lit("decision").alias("what"), "asset_id").unionByName(
+        done["enriched"].select(F.lit("enrich").alias("what"), "asset_id"))
+
+
 # --- report ----------------------------------------------------------------------------------
 
 @query

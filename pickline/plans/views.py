@@ -50,6 +50,33 @@ def hashes(spark, d) -> DataFrame:
     )
 
 
+def write_images(spark, d, path: str) -> None:
+    """Every embedding as an 8 x 9 grey bitmap file in a folder of its id.
+
+    All 64 floats are read as 8 rows, each with its first one repeated at the end. The file is made
+    of text in hexadecimal: a header, then rows from the bottom up, three bytes a pixel, padded to four.
+    """
+    def pixel(row, col):
+        value = F.get("embedding", (8 * row + col % 8).cast("int"))
+        level = F.floor((value.cast("double") + 1) * 127.5)
+        shade = F.greatest(F.lit(0), F.least(F.lit(255), F.coalesce(level, F.lit(0))))
+        return F.repeat(F.lpad(F.hex(shade), 2, "0"), F.lit(3))
+
+    def line(row):
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda c: pixel(row, c)), ""), F.lit("00"))
+
+    def number(value, size):
+        return value.to_bytes(size, "little").hex()
+
+    body = 8 * 28
+    header = ("424d" + number(54 + body, 4) + number(0, 4) + number(54, 4) + number(40, 4) + number(9, 4) + number(8, 4)
+              + number(1, 2) + number(24, 2) + number(0, 4) + number(body, 4) + number(0, 16))
+    rows = F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0)), line), "")
+    table(spark, d, "embeddings").select(
+        "vec_id", F.unhex(F.concat(F.lit(header), rows)).cast("string").alias("value")
+    ).write.partitionBy("vec_id").text(path)
+
+
 def assets(spark, d, hashed: bool = False) -> DataFrame:
     """Events as assets: the user is the camera, and every embedding is dealt to some events."""
     vectors = max(1, table(spark, d, "embeddings").count())

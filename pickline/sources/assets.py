@@ -25,8 +25,7 @@ def flatten_assets(documents: DataFrame) -> DataFrame:
     ).select(
         "id",
         F.col("originalFileName").alias("filename"),
-        capture_time(exif["dateTimeOriginal"], F.col("fileCreatedAt"), F.col("localDateTime"))
-        .alias("taken_at"),
+        _taken(exif).alias("taken_at"),
         camera_key(exif["make"], exif["model"]).alias("camera"),
         F.when(exif["description"] != "", exif["description"]).alias("description"),
         exif["exifImageWidth"].alias("width"),
@@ -39,9 +38,28 @@ def flatten_assets(documents: DataFrame) -> DataFrame:
     return align(rows, ASSETS)
 
 
-def read_assets(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Asset documents under ``path`` (json or parquet) as ``assets`` rows."""
-    return flatten_assets(spark.read.schema(ASSET_DOCUMENT).format(fmt).load(path))
+def _taken(exif: Column) -> Column:
+    return capture_time(exif["dateTimeOriginal"], F.col("fileCreatedAt"), F.col("localDateTime"))
+
+
+def write_documents(documents: DataFrame, path: str, fmt: str = "json") -> None:
+    """Store nested asset documents in a folder per UTC day of capture, which readers can skip."""
+    documents.withColumn("day", F.to_date(_taken(F.col("exifInfo")))).write.partitionBy("day").format(fmt).save(path)
+
+
+def read_assets(spark: SparkSession, path: str, fmt: str = "json", after=None, before=None) -> DataFrame:
+    """Asset documents under ``path`` (json or parquet) as ``assets`` rows.
+
+    With a window, ``after <= taken_at < before``, rows without a time are left out, and where the
+    documents lie in folders by ``day`` only those of the window are listed for reading.
+    """
+    documents = spark.read.schema(ASSET_DOCUMENT).format(fmt).load(path)
+    if "day" in documents.columns:
+        if after is not None:
+            documents = documents.filter(F.col("day") >= F.to_date(bound_literal(after)))
+        if before is not None:
+            documents = documents.filter(F.col("day") <= F.to_date(bound_literal(before)))
+    return time_window(flatten_assets(documents), after=after, before=before)
 
 
 def time_window(

@@ -217,6 +217,22 @@ def test_read_assets(spark, tmp_path):
     assert align(spark.range(1), ASSETS).schema.names == ASSETS.names
 
 
+def test_documents_outside_the_window_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    spark.createDataFrame([(f"a{i}", f"2024-06-{i + 1:02d}T2{i % 4}:30:00Z") for i in range(20)] + [("none", None)],
+                          "id string, fileCreatedAt string").select(
+        "id", "fileCreatedAt", *[F.lit(None).cast("string").alias(c) for c in ("type", "localDateTime", "originalFileName")],
+        F.lit(1).alias("rating"), F.lit(None).cast("bigint").alias("dhash"), F.lit(None).cast("string").alias("thumb_path"),
+        F.lit(None).cast("struct<make:string, model:string, exifImageWidth:int, exifImageHeight:int, "
+                         "dateTimeOriginal:string, rating:int, description:string>").alias("exifInfo"),
+    ).transform(lambda df: sources.write_documents(df, path, "parquet") or df)
+    for file in (tmp_path / "documents" / "day=2024-06-01").glob("*.parquet"):
+        file.write_bytes(b"not a table")  # reading it is an error
+    got = sources.read_assets(spark, path, "parquet", after="2024-06-05", before="2024-06-07T22:00:00Z")
+    assert sorted(r.id for r in got.collect()) == ["a4", "a5"]
+    assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def png(path, pixels):
     raw = b"".join(b"\0" + bytes(line) for line in pixels)
 
