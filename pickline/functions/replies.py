@@ -90,7 +90,8 @@ def parse_replies(df: DataFrame, kind: str, text: str = "reply") -> DataFrame:
     """Add the verdict fields of ``kind`` and ``error`` (null when the reply could be read).
 
     Text fields must hold text and lists of text only text; a number may be written as text in
-    plain digits. An optional field may be missing, but not null.
+    plain digits. An optional field may be missing, but not null. A reply that is a JSON object as a
+    whole stays in the engine; only others are sent to :func:`first_object`.
     """
     fields = REPLY_FIELDS[kind]
     names = [part.split()[0] for part in fields.split(", ")]
@@ -98,10 +99,13 @@ def parse_replies(df: DataFrame, kind: str, text: str = "reply") -> DataFrame:
         "_object", f"{fields}, _corrupt string",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
     )
+    plain = F.coalesce(F.schema_of_variant("_whole").startswith("OBJECT"), F.lit(False))
     read = (
-        df.withColumn("_object", first_object(F.col(text)))
+        df.withColumn("_whole", F.try_parse_json(text)).withColumn("_plain", plain)
+        .withColumn("_found", first_object(F.when(~F.col("_plain"), F.col(text))))
+        .withColumn("_object", F.when(F.col("_plain"), F.col(text)).otherwise(F.col("_found")))
         .withColumn("_parsed", parsed)
-        .withColumn("_kinds", F.try_parse_json("_object"))
+        .withColumn("_kinds", F.when(F.col("_plain"), F.col("_whole")).otherwise(F.try_parse_json("_found")))
         .select(
             *[c for c in df.columns if c not in (*names, "error")],
             *[_typed(n, F.col("_parsed")).alias(n) for n in names],

@@ -105,3 +105,16 @@ def test_replies_of_wrong_types(spark, change, error):
     row = R.parse_replies(df, "triage").first()
     assert row.error == error
     assert error or row.technical_score == 8
+
+
+def test_plain_replies_stay_out_of_python(spark, monkeypatch):
+    seen_nothing = F.pandas_udf(lambda texts: texts.where(texts.isna(), None), "string")
+    replies = [' {"winner": "A", "note": "a } in text"}\n', '{"winner": "B", "note": "x", "more": {"y": [1, {}]}}',
+               'Sure: {"winner": "A", "note": "n"}', '["winner"]', '{"winner": "A", "note": "n"} and more', None]
+    df = spark.createDataFrame(list(enumerate(replies)), "i int, reply string")
+    as_before = [(r.winner, r.error is None) for r in R.parse_replies(df, "pair").orderBy("i").collect()]
+    assert as_before == [("A", True), ("B", True), ("A", True), (None, False), ("A", True), (None, False)]
+    monkeypatch.setattr(R, "first_object", seen_nothing)
+    got = [(r.winner, r.error is None) for r in R.parse_replies(df, "pair").orderBy("i").collect()]
+    # what follows a whole object does not matter, so the fifth one is read as well
+    assert got == [("A", True), ("B", True), (None, False), (None, False), ("A", True), (None, False)]
