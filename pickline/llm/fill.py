@@ -31,9 +31,9 @@ SIZE = 2048
 END_ID = 0
 #: Bytes of text tokenized at once; a longer text is tokenized alone.
 SLICE_BYTES = 2 << 20
-#: Words and other chunks whose ids a worker remembers, in about 200 bytes each; beyond, or for texts
+#: Words and other chunks whose ids a task remembers, in about 200 bytes each; beyond, or for texts
 #: that bring more at once, it forgets all of them.
-CACHED = 600_000
+CACHED = 300_000
 
 
 def _byte_names() -> dict[int, int]:
@@ -193,6 +193,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, with_ids: boo
                     columns.append(pa.array(own, pa.list_(pa.uint32())).cast(pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        # the worker lives on, and what it remembers is no use to other operators
+        tokenizer.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), whole_text("text").alias("text")).mapInArrow(
         cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
