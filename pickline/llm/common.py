@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 from pickline.session import checkpoint_dir
 
 
+#: Bytes of rows that go to a Python worker together; both sides hold them, several times over.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of the test data."""
+    """One table of the test data; batches of long texts are kept small from here on."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound) == f"{64 << 20}b":  # Spark's default; another value is the user's
+        spark.conf.set(bound, f"{BATCH_BYTES}b")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
