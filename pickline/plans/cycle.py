@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,26 @@ def _next_id(table: DataFrame) -> int:
     return (table.agg(F.max("id")).first()[0] or 0) + 1
 
 
+class Counters:
+    """What each judging stage asked, got and paid, one row per stage; finals rounds are stages too."""
+
+    def __init__(self):
+        self.rows: list[DataFrame] = []
+
+    def add(self, stage: str, verdicts: DataFrame) -> DataFrame:
+        """Note the verdicts of a stage and hand them on."""
+        failed = F.col("error").isNotNull()
+        self.rows.append(verdicts.agg(
+            F.lit(stage).alias("stage"), F.count("*").alias("asked"), F.count_if(~failed).alias("judged"),
+            F.count_if(failed).alias("errors"),
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")]))
+        return verdicts
+
+    def table(self) -> DataFrame | None:
+        """``(stage, asked, judged, errors, input_tokens, output_tokens)`` of the stages that ran."""
+        return reduce(DataFrame.unionByName, self.rows) if self.rows else None
+
+
 def group_stage(tables: Tables, dups: DataFrame, options: Options) -> Tables:
     """Stamp groups anew over all assets."""
     assets = groups.regroup(
@@ -33,12 +54,15 @@ def group_stage(tables: Tables, dups: DataFrame, options: Options) -> Tables:
     return _settled({**tables, "assets": assets}, "assets")
 
 
-def triage_stage(tables: Tables, judges: dict[str, Judge], now: Column) -> Tables:
+def triage_stage(
+    tables: Tables, judges: dict[str, Judge], now: Column, counters: Counters | None = None
+) -> Tables:
     """Judge pending groups, then pending single assets, which include the groups' survivors."""
     todo = cut(worklists.members_of(
         worklists.pending_bursts(tables["assets"], tables["bursts"], tables["batch_items"],
                                  tables["batches"]), tables["assets"]))
-    verdicts = judge_with(todo, judges["burst"], "burst", count=F.size("member_ids"))
+    counters = counters or Counters()
+    verdicts = counters.add("burst", judge_with(todo, judges["burst"], "burst", count=F.size("member_ids")))
     good = verdicts.filter("error is null")
     bursts, decisions, _ = merges.resolve_bursts(
         todo, good.select("burst_id", "best_index", "reject_indices", "note"),
@@ -51,7 +75,7 @@ def triage_stage(tables: Tables, judges: dict[str, Judge], now: Column) -> Table
         tables["batches"],
     )
     items = cut(tables["assets"].join(singles, "id", "left_semi").select("id", "filename", "camera"))
-    verdicts = judge_with(items, judges["triage"], "triage").filter("error is null")
+    verdicts = counters.add("triage", judge_with(items, judges["triage"], "triage")).filter("error is null")
     rows = verdicts.withColumnRenamed("id", "asset_id").withColumnRenamed("reply", "raw")
     triage, decisions = apply_singles(tables["triage"], tables["decisions"], rows, now)
     return _settled({**tables, "triage": triage, "decisions": decisions}, "triage", "decisions")
@@ -67,7 +91,8 @@ def refit(tables: Tables, options: Options, now: Column) -> tuple[Tables, DataFr
 
 
 def rank_stage(
-    tables: Tables, judges: dict[str, Judge], options: Options, now: Column
+    tables: Tables, judges: dict[str, Judge], options: Options, now: Column,
+    counters: Counters | None = None,
 ) -> Tables:
     """Judge the best-worst sets that have no judgment yet, then fit."""
     cands = worklists.candidates(tables["triage"], tables["decisions"],
@@ -77,7 +102,7 @@ def rank_stage(
     planned = cut(compare.set_rows(sets))
     todo = cut(worklists.unplanned_sets(planned, tables["bws_sets"]))
     verdicts = judge_with(todo, judges["bws"], "bws", count=F.size("member_ids"))
-    recorded = verdicts.filter("error is null").select(
+    recorded = (counters or Counters()).add("bws", verdicts).filter("error is null").select(
         (F.col("set_id") + _next_id(tables["bws_sets"])).alias("id"), "round", "member_ids",
         F.get("member_ids", F.col("best_index") - 1).alias("best_id"),
         F.get("member_ids", F.col("worst_index") - 1).alias("worst_id"),
@@ -88,20 +113,26 @@ def rank_stage(
     return refit(tables, options, now)[0]
 
 
-def judge_pairs(pairings: DataFrame, judge: Judge) -> DataFrame:
+def judge_pairs(
+    pairings: DataFrame, judge: Judge, counters: Counters | None = None, stage: str = "finals"
+) -> DataFrame:
     """Judge each pairing in both orders: ``(a_id, b_id, winner, agreed)``."""
     shown = pairings.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"))
     both = shown.withColumn("turned", F.lit(False)).unionByName(shown.select(
         F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), F.lit(True).alias("turned")))
-    good = judge_with(both, judge, "pair").filter("error is null").withColumnRenamed(
-        "winner", "pick")
+    verdicts = (counters or Counters()).add(stage, judge_with(both, judge, "pair"))
+    good = verdicts.filter("error is null").withColumnRenamed("winner", "pick")
     return compare.reconcile_orders(good.filter("not turned"), good.filter("turned"))
 
 
 def finals_stage(
-    tables: Tables, judges: dict[str, Judge], options: Options, now: Column
+    tables: Tables, judges: dict[str, Judge], options: Options, now: Column,
+    counters: Counters | None = None,
 ) -> Tables:
-    """Swiss rounds over the top pool, then star bands over the whole ranking."""
+    """Swiss rounds over the top pool, then star bands over the whole ranking.
+
+    With no outcome on record there is no ranking, and the bands are cut from the pool's order.
+    """
     scored = tables["scores"].filter("bt_score is not null")
     n_scored = scored.count()
     five = bands.five_target(scored, options.five_star_fraction, options.five_count)
@@ -110,12 +141,12 @@ def finals_stage(
         return tables
     standing = pool.select(F.col("asset_id").alias("item"), F.col("bt_score").alias("score"))
     ranked = None
-    for _ in range(options.finals_rounds):
+    for turn in range(options.finals_rounds):
         history = compare.pair_history(tables["pairs"])
         pairings = cut(compare.swiss_pairs(standing, history))
         if pairings.isEmpty():
             break
-        outcome = judge_pairs(pairings, judges["pair"])
+        outcome = judge_pairs(pairings, judges["pair"], counters, f"finals {turn + 1}")
         base = _next_id(tables["pairs"])
         place = pairings.select(F.col("a").alias("a_id"), "place")
         recorded = outcome.join(place, "a_id").select(
@@ -130,6 +161,8 @@ def finals_stage(
         ).select("item", F.coalesce("strength", "score").alias("score")))
     if ranked is None:
         tables, ranked = refit(tables, options, now)
+    if ranked.isEmpty():
+        ranked = pool.select(F.col("asset_id").alias("item"), F.col("bt_score").alias("strength"))
     return star_stage(tables, ranked, five, n_scored, options, now)
 
 
@@ -172,9 +205,12 @@ def run_cycle(
     options: Options | None = None,
     dups: DataFrame | None = None,
     now: datetime | None = None,
+    counters: Counters | None = None,
 ) -> tuple[Tables, DataFrame]:
     """All stages in order; returns the next tables and the plan of actions.
 
+    ``counters``, where given, collects what the judging stages asked, got and paid.
+
     ``judges`` maps ``burst``, ``triage``, ``bws`` and ``pair`` to functions of one row, see
     :func:`judge_with`: a group or set row has ``member_ids``, a pair row ``a_id`` and ``b_id``.
     Work on record is skipped, so a second run judges only what is new.
@@ -184,9 +220,10 @@ def run_cycle(
     if dups is None:
         dups = tables["assets"].sparkSession.createDataFrame([], "group_id string, member string")
     tables = group_stage(tables, dups, o)
-    tables = triage_stage(tables, judges, at)
-    tables = rank_stage(tables, judges, o, at)
-    tables = finals_stage(tables, judges, o, at)
+    counters = counters or Counters()
+    tables = triage_stage(tables, judges, at, counters)
+    tables = rank_stage(tables, judges, o, at, counters)
+    tables = finals_stage(tables, judges, o, at, counters)
     return tables, actions.plan(tables, o)
 
 

@@ -14,7 +14,7 @@ from pickline.operators import actions, judging, report, worklists
 from pickline.operators.judging import FatalJudgeError
 from pickline.operators.merges import register_batch
 from pickline.plans import cycle
-from pickline.schemas import Options, empty_tables
+from pickline.schemas import SCORES, Options, align, empty_tables
 from pickline.sources.assets import flatten_assets
 from pickline.streaming import bursts as stream_ops
 from pickline.streaming import watch as watching
@@ -73,12 +73,17 @@ def ask_pair(row):
 JUDGES = {"burst": ask_burst, "triage": ask_single, "bws": ask_set, "pair": ask_pair}
 
 
+class Seen:
+    counters = None
+
+
 @pytest.fixture(scope="module")
 def first(spark):
     tables = {**empty_tables(spark), "assets": flatten_assets(documents(spark))}
     options = Options(finals_rounds=2, five_count=2, four_frac=0.5, album="", write_captions=False,
                       fit_tol=1e-4)
-    out, plan = cycle.run_cycle(tables, JUDGES, options, now=NOW)
+    Seen.counters = cycle.Counters()
+    out, plan = cycle.run_cycle(tables, JUDGES, options, now=NOW, counters=Seen.counters)
     return out, plan, options
 
 
@@ -86,6 +91,32 @@ def counted(df, column):
     return {r[0]: r[1] for r in df.groupBy(column).count().collect()}
 
 
+def test_counters_of_the_first_run(first):
+    rows = {r.stage: tuple(r)[1:] for r in Seen.counters.table().collect()}
+    assert rows["burst"] == (1, 1, 0, 10, 0)
+    assert rows["triage"] == (7, 7, 0, 0, 0)
+    assert rows["bws"][:3] == (4, 4, 0)
+    assert all(asked == judged and asked % 2 == 0 for s, (asked, judged, *_) in rows.items() if s.startswith("finals"))
+
+
+def test_failed_calls_are_counted(spark):
+    def refuse(row):
+        raise ValueError("no picture")
+
+    tables = {**empty_tables(spark), "assets": flatten_assets(documents(spark)).filter("id in ('4', '5')")}
+    counters = cycle.Counters()
+    out = cycle.triage_stage(tables, {**JUDGES, "triage": refuse}, F.lit(NOW), counters)
+    rows = {r.stage: tuple(r)[1:] for r in counters.table().collect()}
+    assert rows == {"burst": (0, 0, 0, 0, 0), "triage": (2, 0, 2, 0, 0)} and out["triage"].isEmpty()
+
+
+def test_bands_from_the_pool_without_outcomes(spark):
+    scores = spark.createDataFrame([(f"s{i}", float(i)) for i in range(4)], "asset_id string, bt_score double")
+    tables = {**empty_tables(spark), "scores": align(scores, SCORES)}
+    out = cycle.finals_stage(tables, JUDGES, Options(finals_rounds=0, five_count=1, four_frac=0.5), F.lit(NOW))
+    assert {r.asset_id: r.stars for r in out["scores"].collect()} == {"s3": 5, "s2": 4, "s1": None, "s0": None}
+
+
 def test_first_run(first):
     t, plan, _ = first
     assert [(r.winner_id, r.reject_ids) for r in t["bursts"].collect()] == [("1", ["0", "2"])]
