@@ -15,10 +15,7 @@ GROUP = "id string, head string, slice bigint, pos bigint"
 
 
 def _groups(chains: DataFrame, max_group: int) -> DataFrame:
-    heads = chains.filter("pos = 0").select("segment", "head", F.lit(1).alias("n"))
-    return attach(split_groups(chains, max_group), heads, "segment", "n").select(
-        "id", "head", "slice", "pos"
-    )
+    return split_groups(chains, max_group, "head").select("id", "head", "slice", "pos")
 
 
 def stream_bursts(
@@ -61,16 +58,15 @@ def stream_bursts(
         spark.createDataFrame([(max(seen),)] if seen else [], "mark timestamp").write.mode(
             "overwrite").parquet(f"{path}/mark/{batch}")
         chains = cut(burst_chains(frames_now, gap_seconds, max_distance))
-        ends = chains.groupBy("segment").agg(
-            F.max("taken_at").alias("end"), F.count("*").alias("n")
-        )
+        # frames of a chain are in order of time, so its last row has its end and its length
         since = F.unix_micros(F.lit(max(seen) if seen else None).cast("timestamp")) \
-            - F.unix_micros("end")
+            - F.unix_micros("taken_at")
         closed = F.coalesce(since > int(round(gap_seconds * 1e6)), F.lit(False))
-        marked = cut(attach(chains, ends, "segment", "n").withColumn("closed", closed))
-        _groups(marked.filter("closed"), max_group).write.mode("overwrite").parquet(
+        still = chains.filter("last").filter(~closed).select("segment", (F.col("pos") + 1).alias("n"))
+        marked = attach(chains, still, "segment", "n", keep=True)
+        _groups(marked.filter("n is null"), max_group).write.mode("overwrite").parquet(
             f"{path}/groups/{batch}")
-        marked.filter("not closed").select("id", "taken_at", "camera", "dhash").write.mode(
+        marked.filter("n is not null").select("id", "taken_at", "camera", "dhash").write.mode(
             "overwrite").parquet(f"{path}/open/{batch}")
 
     writer = frames.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/_stream")
