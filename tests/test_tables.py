@@ -343,3 +343,18 @@ def test_the_tail_leaves_exempt_photos_alone(spark):
     five = spark.createDataFrame([("a",)], "asset_id string")
     tail = bands.star_tail(triage, none, none, exempt=five)
     assert [(r.asset_id, r.stars) for r in tail.collect()] == [("b", 2)]
+
+
+def test_small_batches_share_tasks(spark):
+    items = spark.range(3_000).select(F.col("id").cast("string").alias("custom_id"), F.lit(10).cast("long").alias("bytes"))
+    packed = packing.pack_batches(items, 5, 1_000)
+    assert packed.rdd.getNumPartitions() < 10  # 75 parts of eight batches
+    rows = packed.collect()
+    parts = {r.batch_id.split(".")[0] for r in rows}
+    assert len(parts) == 75
+    held = {}
+    for r in rows:
+        held.setdefault(r.batch_id, []).append(r.custom_id)
+    assert max(map(len, held.values())) == 5 and len(held) <= 600 + len(parts)
+    spread = items.repartition(75, "custom_id").withColumn("part", F.spark_partition_id())
+    assert {r.custom_id: f"p{r.part}" for r in spread.collect()} == {r.custom_id: r.batch_id.split(".")[0] for r in rows}
