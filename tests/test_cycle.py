@@ -10,16 +10,18 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from pickline.operators import actions, judging, report, worklists
+from pickline.functions.replies import parse_replies
+from pickline.operators import actions, judging, report, skew, worklists
 from pickline.operators.judging import FatalJudgeError
 from pickline.operators.merges import register_batch
-from pickline.plans import cycle
+from pickline.plans import cycle, registry
 from pickline.schemas import SCORES, Options, align, empty_tables
 from pickline.sources.assets import flatten_assets
 from pickline.streaming import bursts as stream_ops
 from pickline.streaming import watch as watching
 from pickline.sources.assets import ASSET_DOCUMENT
-from pickline.sources.tables import save_tables
+from pickline.session import cut
+from pickline.sources.tables import save_tables, versions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -231,3 +233,39 @@ def test_watch_and_results_in_two_batches_equal_one(spark, tmp_path):
     assert {r.custom_id: r.error for r in end["batch_items"].collect()} == {
         "triage_4": None, "triage_6": "bad"}
     assert actions.asset_actions(end["decisions"]).count() == 1
+
+
+def test_closing_chains_joins_no_frames(spark, tmp_path, monkeypatch):
+    tables = []
+    monkeypatch.setattr(stream_ops, "attach", lambda fact, stats, *a, **k: tables.append(
+        stats.count()) or skew.attach(fact, stats, *a, **k))
+    path = str(tmp_path)
+    rows = [(f"{c}{k:02d}", datetime(2024, 6, 1, 10, k, 0, tzinfo=UTC), c, None)
+            for c in "ab" for k in range(30)]
+    spark.createDataFrame(rows, stream_ops.FRAME).coalesce(1).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(stream_ops.FRAME).parquet(f"{path}/in")
+    stream_ops.stream_bursts(stream, path, gap_seconds=61).awaitTermination()
+    assert tables == [2]  # the open chains alone: one per camera
+    assert spark.read.parquet(f"{path}/open/0").count() == 60
+    assert stream_ops.open_groups(spark, path, 0, 61).count() == 60
+
+
+def test_results_come_in_four_micro_batches(spark, tmp_path, monkeypatch):
+    docs = [(k, f"text {k}", 10 + k) for k in range(80)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(80)], "doc_id long, quality long, toxic long").repartition(
+        8).write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(registry, "cut", lambda df: cut(df.repartition(8)))
+    places = []
+    workspace = registry._workspace
+    monkeypatch.setattr(registry, "_workspace", lambda s: places.append(workspace(s)) or places[-1])
+    registry.stream_results(spark, str(tmp_path))
+    assert len(spark.read.parquet(f"{places[0]}/in").inputFiles()) >= 16
+    assert len(versions(spark, f"{places[0]}/tables")) <= 5
+
+
+def test_replies_go_to_python_in_small_batches(spark):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(bound)
+    parse_replies(spark.createDataFrame([("x",)], "reply string"), "pair")
+    assert spark.conf.get(bound) == f"{8 << 20}b"
