@@ -19,13 +19,14 @@ half of ``SMALL_LIST`` squared; a longer list of cells becomes one cell.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pickline.llm.common import narrowed, table, whole_text
 from pickline.llm.shingles import set_ids, shingle_sets, slices
 from pickline.operators.groups import component_roots
+from pickline.operators.merges import split_by_filter
 from pickline.session import cut
 
 WORDS = 5
@@ -34,6 +35,8 @@ PERCENT = 75
 COUNTERS, FREQUENT, FREQUENT_FROM = 65_536, 65_536, 32
 #: Cells of one shingle that are paired; more are joined to one cell.
 SMALL_LIST = 128
+#: Cells of one shingle that are always paired; see ``_listed`` for those of longer lists.
+SHORT_LIST = 8
 #: Rounds in which sets, then cells, are gathered along the least one of each shared shingle.
 STAR_ROUNDS = 2
 #: Shingles of all sets that one task joins.
@@ -49,8 +52,9 @@ def least_shared(n):
     return 1 + np.maximum(n // 32, np.minimum(n // 4, 10))
 
 
-#: The same in SQL.
-LEAST_SHARED_SQL = "1 + greatest(floor(n / 32), least(floor(n / 4), 10))"
+def least_shared_sql(n: str) -> str:
+    """The same in SQL."""
+    return f"1 + greatest(floor({n} / 32), least(floor({n} / 4), 10))"
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -269,39 +273,60 @@ def _shared(entries: DataFrame) -> DataFrame:
         read, "h long, rid long, n int, m int, centre long, c_n int, c_m int")
 
 
+def _listed(lists: DataFrame, percent: int) -> DataFrame:
+    """``(h, rid, n, m, slack)``: the cells of every shingle that have to be paired.
+
+    Two cells with similar sets share as many shingles as the smallest set that may be similar to one
+    of theirs must share, the ``bound`` of a cell. A cell with fewer shingles than its bound has no
+    partner. ``slack`` is how many of a cell's shingles have long lists, of more than ``SHORT_LIST``
+    cells. Where that is less than the bound, any partner shares a shingle with a short list, so
+    that the cell is left out of the long ones. Else shingles that texts have in common by chance
+    would make as many pairs as the square of the number of these texts.
+    """
+    def in_lists(rows: DataFrame) -> DataFrame:
+        return cut(rows.withColumn("cells", F.count("*").over(W.partitionBy("h"))).filter("cells > 1"))
+
+    bound = F.expr(least_shared_sql(f"floor({percent} * least / 100)"))
+    listed = in_lists(
+        lists.repartition("h").groupBy("h", "rid").agg(F.min("n").alias("n"), F.max("m").alias("m")))
+    enough = listed.groupBy("rid").agg(F.count("*").alias("c"), F.min("n").alias("least")).filter(F.col("c") >= bound)
+    listed = in_lists(listed.drop("cells").join(enough.select("rid"), "rid").repartition("h"))
+    long = F.col("cells") > SHORT_LIST
+    slack = listed.groupBy("rid").agg(F.count_if(long).alias("slack"), F.min("n").alias("least"))
+    return listed.join(slack, "rid").filter(~long | (F.col("slack") >= bound)).select("h", "rid", "n", "m", "slack")
+
+
 def _cell_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """``(lo, hi, need)`` for cells ``rid`` that share a shingle, read in the order ``(h, rid)``.
 
-    ``need`` is how many shingles the two must share at least to matter, 0 if they must be joined
-    whatever else they share.
+    ``need`` is how many of these rows the two must have at least to matter, 0 if they must be joined
+    whatever else they share: the shingles of long lists may be left out.
     """
 
     def read(batches):
         import pandas as pd
 
-        open_h, cells, chained = None, [], None  # cells: [cell, least n, most n, least shared]
+        open_h, cells, chained = None, [], None  # cells: [cell, least n, most n, least shared, slack]
 
         def close():
             out = []
-            for i, (x, lo_x, hi_x, s_x) in enumerate(cells):
-                for y, lo_y, hi_y, s_y in cells[i + 1 :]:
+            for i, (x, lo_x, hi_x, s_x, slack_x) in enumerate(cells):
+                for y, lo_y, hi_y, s_y, slack_y in cells[i + 1 :]:
                     if 100 * hi_x >= percent * lo_y and 100 * hi_y >= percent * lo_x:
-                        out.append((x, y, min(s_x, s_y)))
+                        out.append((x, y, max(1, min(s_x, s_y) - min(slack_x, slack_y))))
             return out
 
         for batch in batches:
             out = []
-            for h, cell, n, m in zip(*(batch[c].to_pylist() for c in ("h", "rid", "n", "m")), strict=True):
+            for h, cell, n, m, slack in zip(
+                    *(batch[c].to_pylist() for c in ("h", "rid", "n", "m", "slack")), strict=True):
                 if h != open_h:
                     out += close() if chained is None else []
                     open_h, cells, chained = h, [], None
                 if chained is not None:
                     out.append((chained, cell, 0))
-                elif cells and cells[-1][0] == cell:
-                    own = cells[-1]
-                    own[1], own[2], own[3] = min(own[1], n), max(own[2], m), min(own[3], int(least_shared(n)))
                 else:
-                    cells.append([cell, n, m, int(least_shared(n))])
+                    cells.append((cell, n, m, int(least_shared(n)), slack))
                     if len(cells) > SMALL_LIST:
                         chained = cells[0][0]
                         out += [(chained, x[0], 0) for x in cells[1:]]
@@ -367,14 +392,14 @@ def _cells(entries: DataFrame, percent: int) -> DataFrame:
             .filter((100 * F.col("m") >= percent * F.col("c_n")) & (100 * F.col("c_m") >= percent * F.col("n")))
             .groupBy("rid", "centre")
             .agg(F.count("*").alias("c"), F.least(F.min("n"), F.min("c_n")).alias("n"))
-            .filter(f"c >= {LEAST_SHARED_SQL}")
+            .filter(f"c >= {least_shared_sql('n')}")
             .select(F.greatest("rid", "centre").alias("hi"), F.least("rid", "centre").alias("lo"))
         )
         levels.append(cut(component_roots(stars)))
         lists = shared.join(levels[-1].withColumnRenamed("v", "rid"), "rid", "left").select(
             "h", F.coalesce("root", "rid").alias("rid"), "n", "m")
     pairs = (
-        _cell_pairs(lists, percent).groupBy("lo", "hi")
+        _cell_pairs(_listed(lists, percent), percent).groupBy("lo", "hi")
         .agg(F.count("*").alias("c"), F.min("need").alias("need")).filter("c >= need")
         .select(F.greatest("lo", "hi").alias("hi"), F.least("lo", "hi").alias("lo"))
     )
@@ -454,8 +479,11 @@ def similar_groups(
         rows.filter("n > 0").groupBy("rid").agg(
             F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th")).alias("one")))
     tasks = cut(_tasks(sets.join(cells, "rid").select("rid", "n", "one.doc_id", "one.th", "cell"), cell_shingles, percent))
-    # merged by sorting at every size: a broadcast of what grows with the input is no saving
-    texts = docs.hint("merge").join(
+    # merged by sorting at every size: a broadcast of what grows with the input is no saving; texts
+    # that the filter of the wanted ones leaves out are not shuffled
+    wanted, _ = split_by_filter(
+        docs.withColumn("key", _text_key("doc_id", "th")), tasks.select(_text_key("doc_id", "th").alias("key")), "key")
+    texts = wanted.drop("key").hint("merge").join(
         tasks.withColumnsRenamed({"doc_id": "t_id", "th": "t_th"}),
         F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("th") == F.col("t_th")))
     links = cut(_joined(texts, words, percent))
@@ -492,6 +520,11 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return found.select("_row.*")
 
 
+def _text_key(doc_id: str, th: str) -> Column:
+    """One number for an id and a text's hash, either of which may be null."""
+    return F.xxhash64(doc_id, th)
+
+
 def cells_split(tasks: DataFrame) -> bool:
     """Whether any cell has more than one task."""
     return not tasks.filter("key != xxhash64(task)").isEmpty()

@@ -158,3 +158,31 @@ def test_shingles_are_sets_of_words():
     hashes, ends = shingle_sets(pa.array(texts))
     assert np.diff(ends, prepend=0).tolist() == [len(set_of(t)) for t in texts]
     assert hashes[:2].tolist() == hashes[2:4].tolist()
+
+
+def test_passages_shared_by_chance_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}_{i}" for i in range(5)) for k in range(40)]  # one shingle each
+    rows = []
+    for i in range(160):
+        w = [f"u{i}_{k}" for k in range(120)]
+        for p in rng.sample(passages, 12):
+            w[rng.randrange(1, 120) : 0] = [p]
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, t + " end") for i, t in rows[:10]] + [(600 + i, " ".join(passages[:20])) for i in range(3)]
+    made = []
+    pairs = jaccard._cell_pairs
+    monkeypatch.setattr(jaccard, "_cell_pairs", lambda *args: made.append(pairs(*args)) or made[0])
+    assert found(spark, rows) == brute(rows)
+    assert made[0].count() < 160
+
+
+@pytest.mark.parametrize("short", [1, 2, 8])
+def test_lists_of_any_length_as_brute_force(spark, monkeypatch, short):
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
+    rng = random.Random(short)
+    vocab = [f"v{i}" for i in range(9)]  # few words: most shingles are in many texts
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.choice([5, 6, 7, 8, 9, 12, 30])))) for i in range(250)]
+    rows += [(1000 + i, t + " " + rng.choice(vocab)) for i, t in rows[:60]]
+    assert found(spark, rows) == brute(rows)

@@ -1,5 +1,6 @@
 import json
 import struct
+import time
 import zlib
 from datetime import UTC, datetime
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pickline.operators import actions, bands, judging, merges, packing, report, worklists
 from pickline.schemas import ASSETS, BURSTS, DECISIONS, SCORES, TABLES, TRIAGE, align, empty_tables
+from pickline.session import cut
 from pickline.sources import assets as sources
 from pickline.sources.images import hash_images
 from pickline.sources.tables import load_tables, save_tables, write_actions
@@ -326,6 +328,22 @@ def test_small_updates_shuffle_few_rows(spark, kind):
         of(0): (0, "kept"), of(99_989): (99_989, "kept")}
 
 
+def test_cut_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {name for name in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, given = shuffles(), spark.conf.get(setting)
+    made = cut(spark.range(20_000).repartition(3, "id").groupBy(F.col("id") % 7).count())
+    ended = time.time() + 20
+    while shuffles() - before and time.time() < ended:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert made.count() == 7 and spark.conf.get(setting) == given
+
+
 def test_updates_of_everything_and_of_nothing(spark):
     target = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "k string, v int")
     none = target.limit(0)
