@@ -26,6 +26,9 @@ from pickline.session import cut
 WINDOW = 13
 #: Words of test items in one block; an item is never split.
 BLOCK_WORDS = 500_000
+#: Bytes of text in one segment, unless one document has more, and segments of a file's row group: what
+#: writers hold until it is full and what readers make arrays of at once.
+SEGMENT_BYTES, GROUP_SEGMENTS = 512 << 10, 16
 
 INDEX = ("segment long, doc_ids array<long>, n_words array<int>, terms array<string>, "
          "ends array<int>, deltas array<int>")
@@ -71,7 +74,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for i, j in slices(batch["text"]):
+            for i, j in slices(batch["text"], SEGMENT_BYTES):
                 codes, names, ends = words_of(batch["text"].slice(i, j - i))
                 sizes = np.diff(ends, prepend=0)
                 at = np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)
@@ -83,7 +86,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                     ["segment", "doc_ids", "n_words", "terms", "ends", "deltas"])
                 number += 1
 
-    return cut(docs.mapInArrow(read, INDEX))
+    return cut(docs.mapInArrow(read, INDEX), **{"parquet.block.row.count.limit": GROUP_SEGMENTS})
 
 
 class Segment:

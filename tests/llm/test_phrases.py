@@ -72,3 +72,21 @@ def test_near(spark):
     got = phrases.find_near(index, [(1, "a b c"), (2, "missing a"), (3, "")], 5).collect()
     assert sorted({(r.doc_id, r.query_id) for r in got}) == [(1, 1), (2, 1), (4, 1)]
     assert {(r.doc_id, r.start) for r in phrases.find_near(index, [(1, "a b c")], 3).collect()} == {(2, 0), (4, 0)}
+
+
+def test_segments_and_row_groups_stay_small(spark):
+    import pyarrow.parquet as pq
+
+    text = " ".join(f"w{i}" for i in range(4000))
+    docs = spark.createDataFrame([(i, text) for i in range(600)], "doc_id long, text string").coalesce(1)
+    index = phrases.build_index(docs)
+    most = len(text) + phrases.SEGMENT_BYTES
+    assert all(r.b <= most for r in index.selectExpr("size(doc_ids) * %d AS b" % len(text)).collect())
+    groups = 0
+    for path in index.inputFiles():
+        meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+        rows = [meta.row_group(g).num_rows for g in range(meta.num_row_groups)]
+        assert all(n <= phrases.GROUP_SEGMENTS for n in rows)
+        groups += len(rows)
+    assert groups >= 2
+    assert index.selectExpr("sum(size(doc_ids)) n").first().n == 600
