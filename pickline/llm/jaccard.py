@@ -507,17 +507,18 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one with an id. All columns come as they came.
     """
     groups = cut(similar_groups(docs, id_col, text_col, hashes=True, **settings))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "th").agg(
-        F.count("*").alias("n"))
-    kept = cut(kept)
+    # documents that go or come more than once; only rows that may be among them are shuffled
+    touched = cut(
+        groups.groupBy("doc_id", "th").agg(
+            F.count("*").alias("n"), F.bool_or(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone"))
+        .filter("gone or n > 1").select("doc_id", "th", "gone", _text_key("doc_id", "th").alias("_key")))
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(whole_text(f"`{text_col}`")).alias("_th"))
-    found = packed.hint("merge").join(
-        kept, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left_semi")
-    if not kept.filter("n > 1").isEmpty():
-        found = found.dropDuplicates(["_id", "_th"])
-    return found.select("_row.*")
+    near, rest = split_by_filter(packed.withColumn("_key", _text_key("_id", "_th")), touched, "_key")
+    near = near.hint("merge").join(
+        touched.filter("gone"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left_anti")
+    return near.dropDuplicates(["_id", "_th"]).unionByName(rest).select("_row.*")
 
 
 def _text_key(doc_id: str, th: str) -> Column:

@@ -160,6 +160,42 @@ def test_shingles_are_sets_of_words():
     assert hashes[:2].tolist() == hashes[2:4].tolist()
 
 
+def test_one_of_each_group_with_repeats_and_null_ids(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(21, 80))]
+    rows += [rows[3], rows[3], rows[11], (None, rows[5][1]), (None, "a text that nobody else has here"),
+             (None, "a text that nobody else has here"), (900, None), (900, None), (901, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA).repartition(4)
+    kept = jaccard.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    component = {}
+    for d, n, c in found(spark, rows):
+        if d is not None:
+            component[d] = c
+    want = {(d, t or "") for d, t in rows if d is not None and component[d] == d}
+    want |= {(None, "a text that nobody else has here"), (None, "")}
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_texts_that_nothing_is_like_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(2000))) for i in range(150)]
+    rows.append((150, rows[0][1] + " more"))
+    spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA).write.parquet(str(tmp_path / "docs"))
+    before = shuffled_bytes(spark)
+    kept = jaccard.one_of_each_group(spark.read.parquet(str(tmp_path / "docs")))
+    assert kept.count() == 150
+    texts = sum(len(t) for _, t in rows)
+    assert shuffled_bytes(spark) - before < texts / 2
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages so far have written to shuffles; entries of one shingle aside, texts are most."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    store = context.statusStore()
+    return sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(store.executorList(False)))
+
+
 def test_passages_shared_by_chance_make_few_pairs(spark, monkeypatch):
     rng = random.Random(8)
     passages = [" ".join(f"p{k}_{i}" for i in range(5)) for k in range(40)]  # one shingle each
